@@ -57,11 +57,14 @@ def similarity_links(kb: DataFrame, threshold: float, block_rows: int = BLOCK_RO
         found = pd.DataFrame({"kb_id": np.concatenate([l_ids, r_ids]), "linked": ids[np.concatenate([l, r])]})
         return found[found["kb_id"] != found["linked"]].drop_duplicates()
 
-    def side(own: str, other: str) -> DataFrame:
-        return blocks._blocked(rows, counts, "category", "kb_id", own, other).filter(F.col("_l") <= F.col("_r"))
+    def side(table: DataFrame, own: str, other: str) -> DataFrame:
+        return blocks.blocked(table, counts, "category", "kb_id", own, other).filter(F.col("_l") <= F.col("_r"))
 
     units = ["category", "_l", "_r"]
-    return side("_l", "_r").groupBy(*units).cogroup(side("_r", "_l").groupBy(*units)).applyInPandas(unit, schema)
+    again = rows.toDF(*rows.columns)
+    return (
+        side(rows, "_l", "_r").groupBy(*units).cogroup(side(again, "_r", "_l").groupBy(*units)).applyInPandas(unit, schema)
+    )
 
 
 def connected_components(links: DataFrame, a: str = "kb_id", b: str = "linked") -> DataFrame:

@@ -14,7 +14,7 @@ THRESHOLD = 0.36
 WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
 
 
-ANSWER = r"""array_to_string(list_filter(list_transform(string_split(text, chr(10)),
+ANSWER = r"""array_to_string(list_filter(list_transform(string_split(split_part(text, '###', 1), chr(10)),
             lambda l: regexp_replace(regexp_replace(regexp_replace(regexp_replace('> ' || l, '^\s*>+', ''), '^\s+|\s+$', '', 'g'),
                 '^["“”]+|["“”]+$', '', 'g'), '^\s+|\s+$', '', 'g')),
             lambda l: l <> ''), chr(10))"""

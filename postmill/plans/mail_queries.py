@@ -514,7 +514,7 @@ def attach_kb(spark: SparkSession, d: str) -> DataFrame:
         FROM labels JOIN documents USING (doc_id) WHERE doc_id % 48 < 24
         UNION ALL SELECT doc_id, 'primary', 2, md5(text) FROM documents WHERE lang IN ('en', 'fr')
         UNION ALL SELECT doc_id, 'mirror', 3, md5(text) FROM documents WHERE lang = 'de')
-    SELECT doc_id, coalesce(arg_min(source, priority), 'UNAVAILABLE') AS source, arg_min(content, priority) AS content
+    SELECT doc_id, coalesce(arg_min(c.source, priority), 'UNAVAILABLE') AS source, arg_min(content, priority) AS content
     FROM documents LEFT JOIN c USING (doc_id) GROUP BY 1""")
 def resolve_source(spark: SparkSession, d: str) -> DataFrame:
     docs = V.read(spark, d, "documents").withColumn("content", F.md5("text"))

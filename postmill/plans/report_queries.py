@@ -11,7 +11,7 @@ from . import views as V
 from .catalog import query
 from .oracle import one_byte, with_tables
 
-TREND_NOW = "1998-06-01 12:00:00"
+TREND_NOW = "2001-10-30 12:00:00"
 
 
 def scored(rows: str) -> str:
@@ -96,7 +96,7 @@ def first_sent(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_tables("""
     SELECT draft_id, 'ABANDONED' AS event FROM draft_log
-    WHERE status = 'PENDING' AND created_at < TIMESTAMP '1998-05-18 12:00:00'""", "draft_log"))
+    WHERE status = 'PENDING' AND created_at < TIMESTAMP '2001-10-16 12:00:00'""", "draft_log"))
 def abandon(spark: SparkSession, d: str) -> DataFrame:
     return C.abandon(V.draft_log(spark, d), TREND_NOW).select("draft_id", "event")
 
@@ -167,7 +167,7 @@ def reconciled_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_tables(f"""
     SELECT CAST(reconciled_at AS DATE) AS day, count(*) AS reconciled, round(avg(accuracy_score), 1) AS avg_accuracy, {COUNTS}
-    FROM accuracy_log WHERE reconciled_at >= TIMESTAMP '1998-05-25 12:00:00' GROUP BY 1""", "accuracy_log"))
+    FROM accuracy_log WHERE reconciled_at >= TIMESTAMP '2001-10-23 12:00:00' GROUP BY 1""", "accuracy_log"))
 def daily_trend(spark: SparkSession, d: str) -> DataFrame:
     return D.daily_trend(V.accuracy_log(spark, d), TREND_NOW).orderBy("day")
 
@@ -224,7 +224,7 @@ REPORT = f"""
     SELECT row_number() OVER (ORDER BY section, pos, name) AS line_no, line FROM (
     SELECT 0 AS section, CAST(unnest([0, 1]) AS DOUBLE) AS pos, '' AS name,
            unnest([{_RULE}, '  WEEKLY ACCURACY REPORT']) AS line
-    UNION ALL SELECT 1, 0, '', '  Generated: 1998-06-01 12:00 UTC' UNION ALL SELECT 2, 0, '', {_RULE}
+    UNION ALL SELECT 1, 0, '', '  Generated: 2001-10-30 12:00 UTC' UNION ALL SELECT 2, 0, '', {_RULE}
     UNION ALL {_head(10, '1. PIPELINE HEALTH  (draft_log all-time)')}
     UNION ALL SELECT 11, unnest([1, 2, 3, 4]), '', unnest(['  Total drafts created :  ' || count(*),
         '  Reconciled           :  ' || count(*) FILTER (status = 'RECONCILED') || '  (' ||
@@ -255,7 +255,7 @@ REPORT = f"""
     UNION ALL SELECT 50, unnest([0, 1, 2, 3]), '', unnest(['', {_RULE}, '  END OF REPORT', {_RULE}]))"""
 DAILY = f"""
     SELECT CAST(reconciled_at AS DATE) AS day, count(*) AS reconciled, round(avg(accuracy_score), 1) AS avg_accuracy, {COUNTS}
-    FROM accuracy_log WHERE reconciled_at >= TIMESTAMP '1998-05-25 12:00:00' GROUP BY 1"""
+    FROM accuracy_log WHERE reconciled_at >= TIMESTAMP '2001-10-23 12:00:00' GROUP BY 1"""
 
 
 @query(with_tables(REPORT, "accuracy_log", "draft_log", extra={
