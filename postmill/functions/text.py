@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
@@ -17,13 +19,20 @@ def text_or_empty(col: Column) -> Column:
 
 
 def contains_any(col: Column, words, word_boundary: bool = False) -> Column:
-    """Whether any of the words occurs, as plain substrings unless ``word_boundary`` asks for whole words."""
-    quoted = "|".join(re.escape(w) for w in words)
-    return col.rlike(rf"\b(?:{quoted})\b" if word_boundary else f"(?:{quoted})")
+    """Whether any of the words occurs, as plain substrings unless ``word_boundary`` asks for whole words.
+
+    Plain substrings are searched one by one in the UTF-8 bytes; measured, that is several
+    times faster than one alternation pattern, which decodes the text first. Pass a column
+    that is computed already, since it is read once per word.
+    """
+    if word_boundary:
+        quoted = "|".join(re.escape(w) for w in words)
+        return col.rlike(rf"\b(?:{quoted})\b")
+    return reduce(or_, [col.contains(w) for w in words])
 
 
 def starts_with_any(col: Column, prefixes) -> Column:
-    return col.rlike("^(?:" + "|".join(re.escape(p) for p in prefixes) + ")")
+    return reduce(or_, [col.startswith(p) for p in prefixes])
 
 
 def has_cjk(col: Column) -> Column:

@@ -99,11 +99,12 @@ def preflight(queue: DataFrame, thread_messages: DataFrame) -> DataFrame:
 
     The form sender is exempt before the machine-sender test.
     """
-    sender = F.lower(text_or_empty(F.col("sender")))
+    sender = F.col("_sender")
     machine = contains_any(sender, W.MACHINE_SENDERS + W.B2B_DOMAINS + W.B2B_ADDRESSES)
     has_prior = F.coalesce(F.col("_first") < F.struct("received_at", "message_id"), F.lit(False))
     return (
         queue.join(first_in_thread(thread_messages), "thread_id", "left")
+        .withColumn("_sender", F.lower(text_or_empty(F.col("sender"))))
         .withColumn(
             "outcome",
             F.when((F.col("search") == "B") & ~has_prior, "RETRIAGE")
@@ -111,7 +112,7 @@ def preflight(queue: DataFrame, thread_messages: DataFrame) -> DataFrame:
             .when(machine, "MISLABELED")
             .otherwise("PROCEED"),
         )
-        .drop("_first")
+        .drop("_first", "_sender")
     )
 
 

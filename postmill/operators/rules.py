@@ -26,52 +26,79 @@ from ..functions.text import (
 BULK_RULES = ("R0.1", "R1a", "R1b", "R1", "R1.5", "R2", "R3")
 
 
+FIELD_COLUMNS = ("_sender", "_subject", "_raw_subject", "_body", "_raw_body", "_content", "_unquoted")
+
+
 class _Fields:
-    """The lower-cased inputs of the cascade."""
+    """The inputs of the cascade, each computed once per message by ``add``."""
 
     def __init__(self, scan: str, body_chars: int | None):
+        if scan not in ("content", "body"):
+            raise ValueError("scan must be 'content' or 'body'")
+        self.scan, self.body_chars = scan, body_chars
+        self.sender, self.subject, self.raw_subject, self.body, self.raw_body, self.content, self.unquoted = (
+            F.col(c) for c in FIELD_COLUMNS
+        )
+
+    def add(self, messages: DataFrame) -> DataFrame:
+        """Append the fields; later stages read them as columns instead of repeating the expressions."""
         body = text_or_empty(F.col("body"))
-        if body_chars is not None:
-            body = F.left(body, F.lit(body_chars))
-        self.raw_subject = text_or_empty(F.col("subject"))
-        self.raw_body = body
-        self.sender = F.lower(text_or_empty(F.col("sender")))
-        self.subject = F.lower(self.raw_subject)
-        self.body = F.lower(body)
+        if self.body_chars is not None:
+            body = F.left(body, F.lit(self.body_chars))
+        lowered = messages.select(
+            "*",
+            F.lower(text_or_empty(F.col("sender"))).alias("_sender"),
+            text_or_empty(F.col("subject")).alias("_raw_subject"),
+            F.lower(text_or_empty(F.col("subject"))).alias("_subject"),
+            body.alias("_raw_body"),
+            F.lower(body).alias("_body"),
+        )
         unquoted = strip_quoted(self.body)
-        if scan == "content":
-            self.content = F.concat_ws(" ", self.subject, self.body)
-            self.unquoted = F.concat_ws(" ", self.subject, unquoted)
-        elif scan == "body":
-            self.content, self.unquoted = self.body, unquoted
-        else:
-            raise ValueError("scan must be 'content' or 'body'")
+        if self.scan == "body":
+            return lowered.select("*", self.body.alias("_content"), unquoted.alias("_unquoted"))
+        return lowered.select(
+            "*",
+            F.concat_ws(" ", "_subject", "_body").alias("_content"),
+            F.concat_ws(" ", self.subject, unquoted).alias("_unquoted"),
+        )
 
 
 def _sender_lists(f: _Fields) -> Column:
     return contains_any(f.sender, W.B2B_DOMAINS + W.B2B_ADDRESSES)
 
 
-def _bulk_rules(f: _Fields, word_boundary: bool) -> list[tuple[Column, str]]:
+def _bulk_rules(f: _Fields, word_boundary: bool) -> list[tuple[Column, str, Column | None]]:
     def hit(col: Column, words) -> Column:
         return contains_any(col, words, word_boundary)
 
     listed = _sender_lists(f)
     return [
-        (contains_any(f.sender, W.POSTAL_SENDERS), "R1a"),
-        (f.subject.startswith("re:") & ~listed & hit(f.content, W.PITCH_WORDS), "R1b"),
-        (listed | starts_with_any(f.sender, W.BULK_PREFIXES), "R1"),
-        (has_cjk(f.raw_subject) | contains_any(f.subject, W.PROMO_SUBJECTS), "R1.5"),
-        (hit(f.content, W.EVENT_WORDS), "R2"),
-        (hit(f.unquoted, W.B2B_WORDS + W.PROMO_WORDS), "R3"),
+        (contains_any(f.sender, W.POSTAL_SENDERS), "R1a", None),
+        (f.subject.startswith("re:") & ~listed & hit(f.content, W.PITCH_WORDS), "R1b", None),
+        (listed | starts_with_any(f.sender, W.BULK_PREFIXES), "R1", None),
+        (has_cjk(f.raw_subject) | contains_any(f.subject, W.PROMO_SUBJECTS), "R1.5", None),
+        (hit(f.content, W.EVENT_WORDS), "R2", None),
+        (hit(f.unquoted, W.B2B_WORDS + W.PROMO_WORDS), "R3", None),
     ]
 
 
-def _case(branches: list[tuple[Column, str]], default: str) -> Column:
-    chain = F.when(*branches[0])
-    for condition, value in branches[1:]:
-        chain = chain.when(condition, value)
-    return chain.otherwise(default)
+def _cascade(staged: DataFrame, branches: list[tuple[Column, str, Column | None]], bulk=BULK_RULES) -> DataFrame:
+    """Append ``rule_id`` and ``tag`` of the first branch that holds.
+
+    The CASE yields both at once and passes through a one-element ``inline``: a later filter
+    on the tag then reads the result. Pushed below a plain projection, the filter would
+    repeat the whole cascade, and each lower-casing once per word.
+    """
+    none = F.lit(None).cast("string")
+
+    def hit(rule_id: str, tag: Column | None) -> Column:
+        value = F.lit(B2B) if rule_id in bulk else none if tag is None else tag
+        return F.struct(F.lit(rule_id).alias("rule_id"), value.alias("tag"))
+
+    chain = None
+    for condition, rule_id, tag in branches:
+        chain = (F if chain is None else chain).when(condition, hit(rule_id, tag))
+    return staged.select("*", F.inline(F.array(chain.otherwise(hit("R4", None))))).drop(*FIELD_COLUMNS)
 
 
 def prefilter(
@@ -85,15 +112,13 @@ def prefilter(
     """
     f = _Fields(scan, body_chars)
     branches = [
-        (f.sender.contains(W.FORM_SENDER), "R0"),
-        (contains_any(f.sender, W.SYSTEM_MAILERS), "R0.1"),
-        (f.sender.contains(W.CHAT_RELAY), "R0.2"),
-        (contains_any(f.sender, W.PAYMENT_SENDERS + W.MARKET_SENDERS), "R0.5"),
+        (f.sender.contains(W.FORM_SENDER), "R0", None),
+        (contains_any(f.sender, W.SYSTEM_MAILERS), "R0.1", None),
+        (f.sender.contains(W.CHAT_RELAY), "R0.2", None),
+        (contains_any(f.sender, W.PAYMENT_SENDERS + W.MARKET_SENDERS), "R0.5", None),
         *_bulk_rules(f, word_boundary),
     ]
-    return messages.withColumn("rule_id", _case(branches, "R4")).withColumn(
-        "tag", F.when(F.col("rule_id").isin(*BULK_RULES), F.lit(B2B))
-    )
+    return _cascade(f.add(messages), branches)
 
 
 def triage(
@@ -101,16 +126,6 @@ def triage(
 ) -> DataFrame:
     """The full cascade: add ``rule_id``, ``tag`` and ``needs_model``."""
     f = _Fields(scan, body_chars)
-    is_status = contains_any(f.body, W.STATUS_PHRASES) & f.raw_body.rlike(ANY_ORDER)
-    branches = [
-        (f.sender.contains(W.FORM_SENDER) & f.subject.contains(W.FORM_SUBJECT), "R0"),
-        (contains_any(f.sender, W.SYSTEM_MAILERS), "R0.1"),
-        (f.sender.contains(W.CHAT_RELAY), "R0.2"),
-        (contains_any(f.sender, W.PAYMENT_SENDERS), "R0.5p"),
-        (contains_any(f.sender, W.MARKET_SENDERS), "R0.5m"),
-        *_bulk_rules(f, word_boundary),
-        (is_status, "R3.5"),
-    ]
 
     def by_region(words, issue: str) -> Column:
         return F.when(contains_any(f.body, words), f"LIFESTYLE_{issue}").otherwise(f"US_{issue}")
@@ -122,31 +137,23 @@ def triage(
             .otherwise(by_region(words, issue))
         )
 
-    rule = F.col("_rule")
+    def disputed(dispute_words, region_words) -> Column:
+        disputes = contains_any(f.body, dispute_words)
+        return F.when(disputes, by_region(region_words, "CHARGEBACK")).otherwise(B2B)
+
     relay_bulk = contains_any(f.body, W.RELAY_SYSTEM_WORDS) & ~contains_any(f.body, W.RELAY_CUSTOMER_WORDS)
-    tag = (
-        F.when(rule.isin(*BULK_RULES), B2B)
-        .when(rule == "R0", by_order(W.FORM_REGION_WORDS, "WARRANTY"))
-        .when(rule == "R0.2", F.when(relay_bulk, B2B))
-        .when(
-            rule == "R0.5p",
-            F.when(contains_any(f.body, W.PAYMENT_DISPUTE_WORDS), by_region(W.PAYMENT_REGION_WORDS, "CHARGEBACK"))
-            .otherwise(B2B),
-        )
-        .when(
-            rule == "R0.5m",
-            F.when(contains_any(f.body, W.MARKET_DISPUTE_WORDS), by_region(W.MARKET_REGION_WORDS, "CHARGEBACK"))
-            .otherwise(B2B),
-        )
-        .when(rule == "R3.5", by_order(W.STATUS_REGION_WORDS, "WISMO"))
-    )
-    return (
-        messages.withColumn("_rule", _case(branches, "R4"))
-        .withColumn("tag", tag)
-        .withColumn("rule_id", F.when(rule.startswith("R0.5"), "R0.5").otherwise(rule))
-        .withColumn("needs_model", F.col("tag").isNull())
-        .drop("_rule")
-    )
+    asks_status = contains_any(f.body, W.STATUS_PHRASES) & f.raw_body.rlike(ANY_ORDER)
+    branches = [
+        (f.sender.contains(W.FORM_SENDER) & f.subject.contains(W.FORM_SUBJECT), "R0",
+         by_order(W.FORM_REGION_WORDS, "WARRANTY")),
+        (contains_any(f.sender, W.SYSTEM_MAILERS), "R0.1", None),
+        (f.sender.contains(W.CHAT_RELAY), "R0.2", F.when(relay_bulk, B2B)),
+        (contains_any(f.sender, W.PAYMENT_SENDERS), "R0.5", disputed(W.PAYMENT_DISPUTE_WORDS, W.PAYMENT_REGION_WORDS)),
+        (contains_any(f.sender, W.MARKET_SENDERS), "R0.5", disputed(W.MARKET_DISPUTE_WORDS, W.MARKET_REGION_WORDS)),
+        *_bulk_rules(f, word_boundary),
+        (asks_status, "R3.5", by_order(W.STATUS_REGION_WORDS, "WISMO")),
+    ]
+    return _cascade(f.add(messages), branches).withColumn("needs_model", F.col("tag").isNull())
 
 
 def rule_stats(classified: DataFrame) -> DataFrame:
@@ -266,16 +273,11 @@ def classify_with_rules(messages: DataFrame, rules: DataFrame, scan: str = "cont
         )
         return guard & test(rule["field"], rule["op"], rule["pattern"])
 
-    staged = messages.select(
-        "*",
-        f.sender.alias("_sender"), f.subject.alias("_subject"), f.body.alias("_body"),
-        f.content.alias("_content"), f.unquoted.alias("_unquoted"),
-    )
     hit = F.try_element_at(F.filter("_rules", matches), F.lit(1))
     return (
-        staged.withColumn("_rules", table)
+        f.add(messages).withColumn("_rules", table)
         .withColumn("_hit", hit)
         .withColumn("rule_id", F.coalesce(F.col("_hit.rule_id"), F.lit("R4")))
         .withColumn("tag", F.col("_hit.tag"))
-        .drop("_sender", "_subject", "_body", "_content", "_unquoted", "_rules", "_hit")
+        .drop(*FIELD_COLUMNS, "_rules", "_hit")
     )
