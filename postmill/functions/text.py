@@ -6,7 +6,7 @@ import re
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 LINE_BREAK = "\r\n|[\n\u000b\f\r\u001c-\u001e\u0085  ]"
 US_ORDER = r"Ms\d+"
@@ -43,12 +43,19 @@ def lines(col: Column) -> Column:
     return F.split(col, LINE_BREAK)
 
 
-def lstrip(col: Column) -> Column:
-    return F.regexp_replace(col, r"^\s+", "")
+WHITESPACE = (
+    " \t\n\r\u000b\u000c\u001c\u001d\u001e\u001f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
-def strip(col: Column) -> Column:
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+def lstrip(col: Column, chars: str = WHITESPACE) -> Column:
+    return F.ltrim(col, F.lit(chars))
+
+
+def strip(col: Column, chars: str = WHITESPACE) -> Column:
+    """Trim any of ``chars`` on both sides; ``trim`` alone would take spaces only."""
+    return F.btrim(col, F.lit(chars))
 
 
 def strip_quoted(col: Column) -> Column:
@@ -88,3 +95,12 @@ def word_count(col: Column) -> Column:
 def terms(col: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.filter(F.split(F.lower(col), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def explode_terms(df: DataFrame, keep, col: Column, name: str = "term") -> DataFrame:
+    """One row per term of ``col``, with the columns ``keep``.
+
+    The outer form and the filter after it give what a plain explode gives, without the
+    size test that the optimizer would put below it and that splits the text twice.
+    """
+    return df.select(*keep, F.explode_outer(terms(text_or_empty(col))).alias(name)).filter(F.col(name).isNotNull())

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ..functions.text import terms, text_or_empty
+from ..functions.text import explode_terms, terms, text_or_empty
 from ..session import checkpoint_root
 from . import blocks
 
@@ -36,7 +36,7 @@ def similarity_links(kb: DataFrame, threshold: float, block_rows: int = BLOCK_RO
     rows = kb.select("kb_id", "category", "vector")
     id_type = rows.schema["kb_id"].dataType
     schema = StructType([StructField("kb_id", id_type), StructField("linked", id_type)])
-    left_counts = blocks.block_counts(rows, "category", block_rows, "n__l")
+    left_counts = blocks.block_counts(kb, "category", block_rows, "n__l")
     counts = left_counts.withColumn("n__r", F.col("n__l"))
 
     def unit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -115,7 +115,7 @@ def cluster(kb: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> Da
 def term_profile(clustered: DataFrame, text_col: str = "text") -> DataFrame:
     """Per cluster: number of words, entropy in bits of its word distribution, and the dominant word."""
     counts = (
-        clustered.select("cluster", F.explode(terms(text_or_empty(F.col(text_col)))).alias("term"))
+        explode_terms(clustered, ["cluster"], F.col(text_col))
         .groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("n"))
     )
     # H = log2(N) - sum(n log2 n) / N needs one pass and no join with the totals. The dominant

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import moment
-from ..functions.text import lines, strip, terms, words
+from ..functions.text import lines, lstrip, strip, terms, words
 
 # Fixed patterns of the skill-file format. The flag d keeps line ends to "\n" alone.
 FUNCTION_HEADER = r"(?dm)^###\s+Function\s+\d+[:\s]+(.+)$"
@@ -16,7 +16,7 @@ TRIGGER = r"(?d)\*\*Trigger:\*\*\s*(.+)"
 EXAMPLES = r"(?d)\*\*Examples?:\*\*\s*(.+)"
 APPROVED = r"(?ds)\*\*Approved Language[^:]*:\*\*\s*(.*?)(?=\*\*Forbidden:|###|\z)"
 EXAMPLE_BREAK = r"\"\s*/\s*\"|\s*/\s*"
-QUOTES = "[\"“”]"
+QUOTES = "\"“”"
 
 
 def with_file_meta(df: DataFrame, col: str = "filename") -> DataFrame:
@@ -31,44 +31,45 @@ def with_file_meta(df: DataFrame, col: str = "filename") -> DataFrame:
 
 
 def _unquote(col: Column) -> Column:
-    return strip(F.regexp_replace(strip(col), f"^{QUOTES}+|{QUOTES}+$", ""))
+    return strip(strip(strip(col), QUOTES))
 
 
 def parse_kb(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row per ``### Function N:`` block with approved language.
 
-    Native array functions throughout; other columns of ``docs`` are carried along.
+    Native array functions throughout; other columns of ``docs`` are carried along. The
+    outer explode and the ``inline`` keep the optimizer from repeating the pattern work in
+    filters below them.
     """
     text = F.col(text_col)
     titles = F.regexp_extract_all(text, F.lit(FUNCTION_HEADER), F.lit(1))
-    bodies = F.slice(F.split(text, FUNCTION_HEADER), 2, F.greatest(F.size(titles), F.lit(1)))
-    blocks = docs.select(
-        *[c for c in docs.columns if c != text_col],
-        F.posexplode(F.arrays_zip(titles.alias("title"), bodies.alias("body"))).alias("position", "_block"),
+    bodies = F.split(text, FUNCTION_HEADER)
+    carried = [c for c in docs.columns if c != text_col]
+    blocks = (
+        docs.select(*carried, titles.alias("_titles"), bodies.alias("_bodies"))
+        .select(*carried, "_bodies", F.posexplode_outer("_titles").alias("position", "_title"))
+        .select(*carried, "position", strip(F.col("_title")).alias("_name"),
+                F.try_element_at("_bodies", F.col("position") + 2).alias("_body"))
     )
-    body = F.col("_block.body")
+    body = F.col("_body")
     trigger = strip(F.regexp_replace(strip(F.regexp_extract(body, TRIGGER, 1)), r"\*+", ""))
     sections = F.regexp_extract_all(body, F.lit(APPROVED), F.lit(1))
+    quoted = F.filter(
+        F.transform(F.flatten(F.transform(sections, lines)), strip), lambda line: line.startswith(">")
+    )
     approved = F.filter(
-        F.transform(
-            F.filter(
-                F.transform(F.flatten(F.transform(sections, lines)), strip),
-                lambda line: line.startswith(">"),
-            ),
-            lambda line: _unquote(F.regexp_replace(line, "^>+", "")),
-        ),
-        lambda line: line != "",
+        F.transform(quoted, lambda line: _unquote(lstrip(line, ">"))), lambda line: line != ""
     )
-    raw_examples = strip(F.regexp_extract(body, EXAMPLES, 1))
-    examples = F.filter(F.transform(F.split(raw_examples, EXAMPLE_BREAK), _unquote), lambda e: e != "")
-    return (
-        blocks.withColumn("function_name", strip(F.col("_block.title")))
-        .withColumn("canonical_question", F.when(body.rlike(TRIGGER), trigger).otherwise(F.col("function_name")))
-        .withColumn("canonical_answer", F.array_join(approved, "\n"))
-        .withColumn("question_variants", examples)
-        .filter(F.col("canonical_answer") != "")
-        .drop("_block")
+    examples = F.filter(
+        F.transform(F.split(strip(F.regexp_extract(body, EXAMPLES, 1)), EXAMPLE_BREAK), _unquote), lambda e: e != ""
+    )
+    parsed = F.struct(
+        F.col("_name").alias("function_name"),
+        F.when(body.rlike(TRIGGER), trigger).otherwise(F.col("_name")).alias("canonical_question"),
+        F.array_join(approved, "\n").alias("canonical_answer"),
+        examples.alias("question_variants"),
     )
+    return blocks.select(*carried, "position", F.inline(F.array(parsed))).filter(F.col("canonical_answer") != "")
 
 
 def content_hash(question: Column, answer: Column) -> Column:

@@ -74,6 +74,16 @@ def match(
     return latest.join(replies, "thread_id")
 
 
+def deal(pairs: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Spread pairs evenly by draft id before scoring.
+
+    Edit distances cost milliseconds per pair where moving one costs microseconds, while
+    adaptive execution sizes partitions by bytes and would leave the work to few tasks.
+    """
+    conf = pairs.sparkSession.conf
+    return pairs.repartition(partitions or int(conf.get("spark.sql.shuffle.partitions")), "draft_id")
+
+
 def reconcile(
     drafts: DataFrame,
     sent: DataFrame,
@@ -88,7 +98,7 @@ def reconcile(
     The events read no text, so reading them alone computes no distances.
     """
     pairs = match(drafts, sent, strict_time, consume_sent, accuracy_log)
-    accuracy = score(pairs.withColumn("final_sent", text_or_empty(F.col("final_sent")))).select(
+    accuracy = score(deal(pairs).withColumn("final_sent", text_or_empty(F.col("final_sent")))).select(
         "draft_id", "thread_id", F.col("sent_message_id").alias("message_id"), moment(as_of).alias("reconciled_at"),
         "final_sent", "edit_distance", "total_chars", "edit_pct", "accuracy_score", "result",
         F.lit(False).alias("semantic_match"), F.lit(agent_id).cast("string").alias("agent_id"),

@@ -155,10 +155,10 @@ def bm25_sql(kb: str, queries: str, self_join: bool) -> dict[str, str]:
     }
 
 
-@query(with_tables("SELECT query_id, kb_id, round(score, 4) AS score, rank FROM listed WHERE rank <= 3",
+@query(with_tables("SELECT query_id, kb_id, score, rank FROM listed WHERE rank <= 3",
                    "articles", "questions", extra=bm25_sql("articles", "questions", False)))
 def bm25(spark: SparkSession, d: str) -> DataFrame:
-    return Q.bm25(V.questions(spark, d), V.articles(spark, d)).withColumn("score", F.round("score", 4))
+    return Q.bm25(V.questions(spark, d), V.articles(spark, d))
 
 
 HYBRID = {

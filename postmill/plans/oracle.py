@@ -74,7 +74,7 @@ TABLES: dict[str, str] = {
         FROM drafts WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')""",
     "draft_log": f"""
         SELECT 'D' || o_orderkey AS draft_id,
-               nullif({pick('o_custkey', V.CATEGORIES)}, 'GENERAL_COMPATIBILITY') AS email_category,
+               nullif({pick('o_orderkey', V.CATEGORIES)}, 'GENERAL_COMPATIBILITY') AS email_category,
                CASE o_orderstatus WHEN 'O' THEN 'PENDING' WHEN 'F' THEN 'RECONCILED' ELSE 'ABANDONED' END AS status,
                CAST(o_orderdate AS TIMESTAMP) AS created_at,
                (['POSITIVE','NEUTRAL','FRUSTRATED','ANGRY','URGENT'])[CAST(left(o_orderpriority, 1) AS INT)] AS sentiment

@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..sources.files import spread
+
+TEXT_TABLES = ("documents", "conversations")
 EPOCH = 1_704_067_200  # 2024-01-01 00:00:00 UTC
 MAIL_NOW = "2024-01-31 00:00:00"
 SHOP_NOW = "2001-08-03 00:00:00"
@@ -71,7 +74,8 @@ GRAPH_PAIRS = (
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(table) if name in TEXT_TABLES else table
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -158,7 +162,7 @@ def draft_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
     return o.select(
         _text_id("D", "o_orderkey").alias("draft_id"),
-        F.nullif(pick(F.col("o_custkey"), CATEGORIES), F.lit("GENERAL_COMPATIBILITY")).alias("email_category"),
+        F.nullif(pick(F.col("o_orderkey"), CATEGORIES), F.lit("GENERAL_COMPATIBILITY")).alias("email_category"),
         F.when(F.col("o_orderstatus") == "O", "PENDING").when(F.col("o_orderstatus") == "F", "RECONCILED")
         .otherwise("ABANDONED").alias("status"),
         F.col("o_orderdate").cast("timestamp").alias("created_at"),
