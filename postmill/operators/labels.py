@@ -6,7 +6,7 @@ column. Conditions on other messages of a thread come from aggregates joined bac
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import rule_words as W
 from ..functions.dates import moment
@@ -196,8 +196,6 @@ def label_batches(classified: DataFrame, size: int = 1000) -> DataFrame:
     Batches are cut within a (tag, hour of arrival), so a tag that holds most messages
     is still numbered by many tasks.
     """
-    from pyspark.sql import Window
-
     slot = F.date_trunc("hour", "received_at")
     keyed = classified.filter(F.col("tag").isNotNull()).select("tag", slot.alias("slot"), "message_id")
     order = Window.partitionBy("tag", "slot").orderBy("message_id")
@@ -214,7 +212,7 @@ def only_if_category(messages: DataFrame, upstream: DataFrame, tags) -> DataFram
 
     The existence test is a one-row scalar subquery, not a join.
     """
-    found = upstream.filter(F.col("tag").isin(*tags)).agg(F.count(F.lit(1)).alias("n")).scalar()
+    found = upstream.filter(F.col("tag").isin(*tags)).limit(1).agg(F.count(F.lit(1)).alias("n")).scalar()
     return messages.filter(found > 0)
 
 

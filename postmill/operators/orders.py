@@ -4,18 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.dates import add_business_days, age_days, long_date
+from ..functions.dates import add_business_days, age_days, long_date, moment
 from ..functions.tags import ESCALATION_NEEDED, REVIEW_DRAFT, store_of
 from ..functions.text import first_name, order_number, text_or_empty
+from .labels import has_any
 
 WISMO_TAGS = ("US_WISMO", "LIFESTYLE_WISMO")
 
 
 def wismo_queue(messages: DataFrame, as_of, days: int = 7) -> DataFrame:
     """Unread, recent order-status messages without draft or escalation."""
-    from ..functions.dates import moment
-    from .labels import has_any
-
     since = F.date_sub(F.to_date(moment(as_of)), days)
     return (
         messages.filter(

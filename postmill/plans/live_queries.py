@@ -13,6 +13,7 @@ from .mail_queries import TRI
 from .oracle import with_tables
 from .report_queries import scored
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -85,15 +86,16 @@ def stream_match_simple(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT draft_id, NULL, 'ABANDONED', NULL, NULL FROM drafts
     WHERE draft_id NOT IN (SELECT draft_id FROM pairs) AND created_at + INTERVAL 14 DAY <=
         (SELECT max(t) - INTERVAL 1 HOUR FROM (SELECT max(created_at) AS t FROM drafts UNION ALL SELECT max(sent_at) FROM sent))""",
-    "sent", extra={"pairs": scored("SELECT draft_id, message_id, draft_text, body FROM drafts JOIN ("
-                                   "SELECT conv_id, turn, message_id, body FROM sent) USING (conv_id, turn)")
-                   .replace("SELECT draft_id, message_id, draft_text, body FROM drafts JOIN",
-                            "SELECT draft_id, s.message_id, draft_text, body FROM drafts JOIN").replace(
-                       ") USING (conv_id, turn)", ") s USING (conv_id, turn)")}))
+    "sent", extra={"pairs": scored(
+        "SELECT draft_id, s.message_id, draft_text, body FROM drafts JOIN sent s USING (conv_id, turn)")}))
 def stream_reconcile(spark: SparkSession, d: str) -> DataFrame:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     events = S.match_events(V.drafts(spark, d, V.stream), V.sent(spark, d, V.stream))
-    rows = _drain(spark, S.stream_reconcile(events), "reconcile")
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        rows = _drain(spark, S.stream_reconcile(events), "reconcile")
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
     return rows.select("draft_id", "message_id", "status", "edit_distance", "result")
 
 

@@ -42,3 +42,8 @@ def write_context(context: DataFrame, path: str) -> None:
 
 def append_kb(entries: DataFrame, path: str) -> None:
     entries.write.mode("append").parquet(path)
+
+
+def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
+    """A log as a table bucketed and sorted by ``key``: later joins on it need no shuffle."""
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)

@@ -144,18 +144,26 @@ def stream_reconcile(events: DataFrame, delay: str = "1 hour", days: int = 14) -
 
 
 def staging_sink(log_path: str) -> Callable[[DataFrame, int], None]:
-    """Micro-batch handler: staged JSON lines into the draft log at ``log_path``.
+    """Micro-batch handler: staged JSON lines into the draft log at ``log_path``, by day of creation.
 
-    A batch that is replayed after a failure adds nothing: known draft ids are left out.
+    A batch that is replayed after a failure adds nothing: known draft ids are left out. A
+    repeated row has its day too, so only the days of the batch are read from the log.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         rows, _ = parse_staging(batch)
         fresh, _, _ = flush_staging(rows)
-        spark = batch.sparkSession
-        # The log exists from its second batch on; its schema is the fresh rows' own.
-        known = spark.read.schema(fresh.schema).parquet(log_path) if _exists(spark, log_path) else fresh.limit(0)
-        unseen(fresh, known).write.mode("append").parquet(log_path)
+        fresh = fresh.withColumn("created_day", F.to_date("created_at"))
+        span = fresh.agg(F.min("created_day").alias("first"), F.max("created_day").alias("last")).first()
+        if span["first"] is None:
+            return
+        known = fresh.limit(0)
+        if _exists(spark, log_path):
+            known = spark.read.schema(fresh.schema).parquet(log_path).filter(
+                F.col("created_day").between(span["first"], span["last"])
+            )
+        unseen(fresh, known).write.mode("append").partitionBy("created_day").parquet(log_path)
 
     return handle
 
