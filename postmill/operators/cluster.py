@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..functions.text import explode_terms, terms, text_or_empty
-from ..session import checkpoint_root
+from ..session import written
 from . import blocks
 
 BLOCK_ROWS = 1024
@@ -72,13 +72,11 @@ def connected_components(links: DataFrame, a: str = "kb_id", b: str = "linked")
 
     Each round joins every edge with the least neighbour of its end, an aggregate, so no
     neighbour list is ever collected. Rounds grow with the logarithm of the size; each ends
-    in a checkpoint in the shared folder.
+    in a table in the shared folder.
     """
-    spark = links.sparkSession
-    checkpoint_root(spark)
-    edges = (
+    edges = written(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .filter(F.col("u") != F.col("v")).distinct().checkpoint()
+        .filter(F.col("u") != F.col("v")).distinct(), "links",
     )
     seen = None
     while True:
@@ -90,10 +88,10 @@ def connected_components(links: DataFrame, a: str = "kb_id", b: str = "linked")
         )
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(small_least, "u")
-        edges = (
+        edges = written(
             joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(joined.select("u", F.col("m").alias("v")))
-            .filter(F.col("u") != F.col("v")).distinct().checkpoint()
+            .filter(F.col("u") != F.col("v")).distinct(), "links",
         )
         state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (state["n"], state["h"]) == seen:
