@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import rule_words as W
-from ..functions.dates import moment
 from ..functions.tags import (
     AI_PROCESSED, B2B, CHARGEBACKS, CLASSIFICATION, DRAFTABLE, ESCALATION_NEEDED, REVIEW_DRAFT, tag_array,
 )
 from ..functions.text import contains_any, text_or_empty
+from ..sources.scans import since_day
 
 LABELS = "labels"
 
@@ -48,10 +48,8 @@ def processing_state(messages: DataFrame) -> DataFrame:
 
 
 def _open_queue(messages: DataFrame, as_of, days: int) -> DataFrame:
-    since = F.date_sub(F.to_date(moment(as_of)), days)
-    return messages.filter(
-        (F.to_date("received_at") >= since)
-        & F.col("is_unread")
+    return since_day(messages, as_of, days).filter(
+        F.col("is_unread")
         & has_label(AI_PROCESSED)
         & ~has_any((REVIEW_DRAFT, B2B, *CHARGEBACKS))
     )

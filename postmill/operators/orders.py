@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.dates import add_business_days, age_days, long_date, moment
+from ..functions.dates import add_business_days, age_days, long_date
 from ..functions.tags import ESCALATION_NEEDED, REVIEW_DRAFT, store_of
 from ..functions.text import first_name, order_number, text_or_empty
+from ..sources.scans import since_day
 from .labels import has_any
 
 WISMO_TAGS = ("US_WISMO", "LIFESTYLE_WISMO")
@@ -14,11 +15,9 @@ WISMO_TAGS = ("US_WISMO", "LIFESTYLE_WISMO")
 
 def wismo_queue(messages: DataFrame, as_of, days: int = 7) -> DataFrame:
     """Unread, recent order-status messages without draft or escalation."""
-    since = F.date_sub(F.to_date(moment(as_of)), days)
     return (
-        messages.filter(
-            (F.to_date("received_at") >= since) & F.col("is_unread")
-            & has_any(WISMO_TAGS) & ~has_any((REVIEW_DRAFT, ESCALATION_NEEDED))
+        since_day(messages, as_of, days).filter(
+            F.col("is_unread") & has_any(WISMO_TAGS) & ~has_any((REVIEW_DRAFT, ESCALATION_NEEDED))
         )
         .withColumn("tag", F.when(F.array_contains("labels", "US_WISMO"), "US_WISMO").otherwise("LIFESTYLE_WISMO"))
         .dropDuplicates(["message_id"])

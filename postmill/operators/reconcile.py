@@ -140,8 +140,19 @@ def with_status(draft_log: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def run_cycle(draft_log: DataFrame, sent: DataFrame, as_of, **options) -> tuple[DataFrame, DataFrame]:
-    """Reconcile, then sweep: (accuracy rows, draft log with its new status)."""
+def run_cycle(draft_log: DataFrame, sent: DataFrame, as_of, days: int = 14, **options) -> tuple[DataFrame, DataFrame]:
+    """Reconcile, then sweep: (accuracy rows, draft log with its new status).
+
+    The log meets the reconciled ids in one join; the sweep is a condition on what is left.
+    """
     accuracy, done = reconcile(pending_drafts(draft_log), sent, as_of, **options)
-    swept = abandon(draft_log, as_of, reconciled=done)
-    return accuracy, with_status(draft_log, done.unionByName(swept))
+    open_and_old = (F.col("status") == "PENDING") & (F.col("created_at") < ago(as_of, days=days))
+    log = (
+        draft_log.join(done.select("draft_id", F.lit(True).alias("_done")), "draft_id", "left")
+        .withColumn(
+            "status",
+            F.when(F.col("_done"), "RECONCILED").when(open_and_old, "ABANDONED").otherwise(F.col("status")),
+        )
+        .drop("_done")
+    )
+    return accuracy, log

@@ -225,13 +225,15 @@ def graph_rescue(spark: SparkSession, d: str) -> DataFrame:
 @query(with_tables("""
     SELECT query_id, kb_id, CAST(NULL AS VARCHAR) AS filename, rank, 'retrieval' AS via FROM nearest
     WHERE rank = 1 AND score >= 0.3
-    UNION ALL SELECT kb_id, NULL, 'CANONICAL_skill_order-shipping-us.md', 1, 'mapping' FROM entries
+    UNION ALL SELECT kb_id, NULL, CASE WHEN kb_id % 2 = 0 THEN 'CANONICAL_skill_order-shipping-us.md'
+        ELSE 'CANONICAL_skill_return-processing-intl.md' END, 1, 'mapping' FROM entries
     WHERE kb_id NOT IN (SELECT query_id FROM nearest WHERE rank = 1 AND score >= 0.3)""", "entries", extra=COS))
 def mapping_fallback(spark: SparkSession, d: str) -> DataFrame:
     kb = V.entries(spark, d)
     asked = V.as_queries(kb)
     hits = Q.cosine_topk(asked, kb, 1, exclude_self=True).filter(F.col("score") >= 0.3)
-    mapped = asked.select("query_id", F.lit("US_WISMO").alias("tag")).join(kb_mapping(spark), "tag").select("query_id", "filename")
+    tagged = asked.select("query_id", V.pick(F.col("query_id"), ("US_WISMO", "LIFESTYLE_RETURN")).alias("tag"))
+    mapped = tagged.join(kb_mapping(spark), "tag").select("query_id", "filename")
     return Q.with_fallback(asked, hits, mapped)
 
 

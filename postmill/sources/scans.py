@@ -8,10 +8,27 @@ from ..functions.dates import ago, moment
 from ..functions.tags import AI_PROCESSED
 
 
+def since_day(messages: DataFrame, as_of, days: int) -> DataFrame:
+    """Messages since the start of the day ``days`` before ``as_of``.
+
+    The bound is a constant on the bare column, so it reaches the parquet scan; a table
+    partitioned by ``received_date`` is pruned by it as well.
+    """
+    first = F.date_sub(F.to_date(moment(as_of)), days)
+    recent = messages.filter(F.col("received_at") >= first.cast("timestamp"))
+    return recent.filter(F.col("received_date") >= first) if "received_date" in messages.columns else recent
+
+
+def unprocessed(messages: DataFrame) -> Column:
+    """Without the processed mark; a stored ``is_processed`` flag can be pushed down, the label array cannot."""
+    if "is_processed" in messages.columns:
+        return ~F.col("is_processed")
+    return ~F.array_contains("labels", AI_PROCESSED)
+
+
 def inbox_scan(messages: DataFrame, as_of, days: int = 7) -> DataFrame:
     """Messages since the day ``days`` before ``as_of`` that are not processed; read ones included."""
-    since = F.date_sub(F.to_date(moment(as_of)), days).cast("timestamp")
-    return messages.filter((F.col("received_at") >= since) & ~F.array_contains("labels", AI_PROCESSED))
+    return since_day(messages, as_of, days).filter(unprocessed(messages))
 
 
 def sent_scan(messages: DataFrame, as_of, minutes: int = 60, limit: int | None = None) -> DataFrame:
