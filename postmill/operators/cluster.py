@@ -37,7 +37,7 @@ def similarity_links(kb: DataFrame, threshold: float, block_rows: int = BLOCK_RO
     id_type = rows.schema["kb_id"].dataType
     schema = StructType([StructField("kb_id", id_type), StructField("linked", id_type)])
     left_counts = blocks.block_counts(kb, "category", block_rows, "n__l")
-    counts = left_counts.withColumn("n__r", F.col("n__l"))
+    counts = written(left_counts.withColumn("n__r", F.col("n__l")), "counts")
 
     def unit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"kb_id": [], "linked": []})

@@ -8,7 +8,7 @@ FAILURES = ("lookup_failed", "kb_unavailable", "low_confidence")
 
 
 def graduation_config(candidates: DataFrame) -> DataFrame:
-    """Candidates of the accuracy report as a switch table."""
+    """Candidates of the accuracy report as a switch table, to be stored as the configuration."""
     return candidates.select("email_category", F.lit(True).alias("graduated"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import cluster as K, kb as B, retrieve as Q
+from ..functions.text import terms
 from ..operators.drafts import kb_mapping
 from . import views as V
 from .catalog import query
@@ -94,12 +95,16 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "chunk_no", "n_words", F.md5("chunk_text").alias("digest"))
 
 
-@query()
+@query(f"""
+    SELECT doc_id, 256 AS dims, CASE WHEN len({WORDS}) > 0 THEN 1.0 ELSE 0.0 END AS length,
+           len({WORDS}) AS n_terms
+    FROM documents""")
 def hashed_embedding(spark: SparkSession, d: str) -> DataFrame:
-    """Default embedding of every document; checked against a plain model in the tests."""
+    """Default embedding of every document; its single values are checked in the tests."""
     rows = B.hashed_tf(V.read(spark, d, "documents").select("doc_id", "text"), "text")
-    return rows.select("doc_id", F.size("embedding").alias("dims"),
-                       F.round(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v), 6).alias("length"))
+    return rows.select(
+        "doc_id", F.size("embedding").alias("dims"), F.size(terms(F.col("text"))).alias("n_terms"),
+        F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v)), 6).alias("length"))
 
 
 BUILT = f"""

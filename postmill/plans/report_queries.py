@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.scoring import score
 from ..operators import dashboard as D, graduate as G, reconcile as C
 from ..schemas import SENTIMENTS
+from ..session import written
 from . import views as V
 from .catalog import query
 from .oracle import one_byte, with_tables
@@ -277,7 +278,7 @@ AUTO = {"graduates": GRADUATES % (100, 25.0), "auto": AUTONOMY}
 
 def _auto(spark: SparkSession, d: str) -> DataFrame:
     log, accuracy = V.draft_log(spark, d), V.accuracy_log(spark, d)
-    config = G.graduation_config(D.graduation_candidates(accuracy, log, min_pct=25.0))
+    config = written(G.graduation_config(D.graduation_candidates(accuracy, log, min_pct=25.0)), "graduation")
     flagged = log.withColumn("lookup_failed", F.col("status") == "ABANDONED").withColumn(
         "low_confidence", F.col("sentiment") == "ANGRY")
     return G.route_by_graduation(flagged, config)
