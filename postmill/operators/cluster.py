@@ -17,7 +17,7 @@ from ..functions.text import explode_terms, terms, text_or_empty
 from ..session import written
 from . import blocks
 
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 2048
 
 
 def _least_labels(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
