@@ -84,8 +84,19 @@ def embedding_cache(spark: SparkSession, d: str) -> DataFrame:
     return B.cache_status(V.hashed_articles(spark, d), _known(spark, d)).select("doc_id", "from_cache")
 
 
+@query(with_tables("""
+    SELECT doc_id, content_hash IN (SELECT content_hash FROM known) AS from_cache,
+           CASE WHEN content_hash IN (SELECT content_hash FROM known) THEN 2 ELSE 256 END AS dims
+    FROM hashed_articles""", "hashed_articles", extra={"known": KNOWN}))
+def embed_missing(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled articles have a stored vector; only the others are embedded."""
+    stored = B.existing_hashes(_known(spark, d)).withColumn("embedding", F.array(F.lit(0.6), F.lit(0.8)))
+    rows = B.embed_missing(V.hashed_articles(spark, d), stored, "canonical_answer")
+    return rows.select("doc_id", "from_cache", F.size("embedding").alias("dims"))
+
+
 @query(r"""
-    SELECT doc_id, start // 250 AS chunk_no, least(300, len(w) - start) AS n_words,
+    SELECT doc_id, CAST(start // 250 AS INTEGER) AS chunk_no, CAST(least(300, len(w) - start) AS INTEGER) AS n_words,
            md5(array_to_string(w[start + 1 : start + 300], ' ')) AS digest
     FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 50 - 1, 0) + 1, 250)) AS start
           FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents)
@@ -96,8 +107,8 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-    SELECT doc_id, 256 AS dims, CASE WHEN len({WORDS}) > 0 THEN 1.0 ELSE 0.0 END AS length,
-           len({WORDS}) AS n_terms
+    SELECT doc_id, 256 AS dims, CAST(len({WORDS}) > 0 AS DOUBLE) AS length,
+           CAST(len({WORDS}) AS INTEGER) AS n_terms
     FROM documents""")
 def hashed_embedding(spark: SparkSession, d: str) -> DataFrame:
     """Default embedding of every document; its single values are checked in the tests."""
@@ -136,7 +147,7 @@ NEAREST = """
 COS = {"cosines": COSINES, "nearest": NEAREST}
 
 
-@query(with_tables("SELECT query_id, kb_id, score, rank FROM nearest WHERE rank <= 3", "entries", extra=COS))
+@query(with_tables("SELECT query_id, kb_id, score, CAST(rank AS INTEGER) AS rank FROM nearest WHERE rank <= 3", "entries", extra=COS))
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     kb = V.entries(spark, d)
     return Q.cosine_topk(V.as_queries(kb), kb, exclude_self=True)
@@ -160,7 +171,7 @@ def bm25_sql(kb: str, queries: str, self_join: bool) -> dict[str, str]:
     }
 
 
-@query(with_tables("SELECT query_id, kb_id, score, rank FROM listed WHERE rank <= 3",
+@query(with_tables("SELECT query_id, kb_id, score, CAST(rank AS INTEGER) AS rank FROM listed WHERE rank <= 3",
                    "articles", "questions", extra=bm25_sql("articles", "questions", False)))
 def bm25(spark: SparkSession, d: str) -> DataFrame:
     return Q.bm25(V.questions(spark, d), V.articles(spark, d))
@@ -176,7 +187,7 @@ HYBRID = {
     "ranked": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, kb_id) AS rank FROM fused",
 }
 HYBRID_SQL = with_tables(
-    "SELECT query_id, kb_id, semantic_rank, keyword_rank, score, rank FROM ranked WHERE rank <= 3", "entries", extra=HYBRID)
+    "SELECT query_id, kb_id, semantic_rank, keyword_rank, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 3", "entries", extra=HYBRID)
 
 
 @query(HYBRID_SQL)
@@ -186,7 +197,7 @@ def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(with_tables("""
-    SELECT query_id, kb_id, score, rank FROM (
+    SELECT query_id, kb_id, score, CAST(rank AS INTEGER) AS rank FROM (
         SELECT query_id, kb_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, kb_id) AS rank FROM (
             SELECT query_id, kb_id, round(coalesce(0.7 / (60 + n.rank), 0) + coalesce(0.3 / (60 + l.rank), 0), 8) AS score
             FROM (SELECT * FROM nearest WHERE rank <= 3) n
@@ -203,22 +214,24 @@ def fused_lists(spark: SparkSession, d: str) -> DataFrame:
 EDGES = "SELECT DISTINCT concept, related FROM (" + " UNION ALL ".join(
     f"SELECT {text(a)} AS concept, {text(b)} AS related UNION ALL SELECT {text(b)}, {text(a)}"
     for a, b, _, _ in V.GRAPH_PAIRS) + ")"
-RESCUE = {
-    **COS,
-    "edges": EDGES,
-    "poor": "SELECT kb_id AS query_id, category, text FROM entries WHERE kb_id NOT IN "
-            "(SELECT query_id FROM nearest WHERE rank = 1 AND score >= 0.3)",
-    "asked": f"SELECT DISTINCT query_id, category, unnest({WORDS}) AS concept FROM poor",
-    "holders": f"SELECT category, kb_id, related, count(*) AS mentions FROM "
-               f"(SELECT category, kb_id, unnest({WORDS}) AS related FROM entries) "
-               "WHERE related IN (SELECT related FROM edges) GROUP BY 1, 2, 3",
-    "found": "SELECT query_id, kb_id, max(mentions) AS mentions FROM asked JOIN edges USING (concept) "
-             "JOIN holders USING (category, related) GROUP BY 1, 2",
-    "rescued": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY mentions DESC, kb_id) AS rank FROM found",
-}
 
+def rescue(asked: str) -> dict[str, str]:
+    """The rescue in steps; ``asked`` names the table of query terms."""
+    return {
+        "edges": EDGES,
+        "poor": "SELECT kb_id AS query_id, category, text FROM entries WHERE kb_id NOT IN "
+                "(SELECT query_id FROM nearest WHERE rank = 1 AND score >= 0.3)",
+        asked: f"SELECT DISTINCT query_id, category, unnest({WORDS}) AS concept FROM poor",
+        "holders": f"SELECT category, kb_id, related, count(*) AS mentions FROM "
+                   f"(SELECT category, kb_id, unnest({WORDS}) AS related FROM entries) "
+                   "WHERE related IN (SELECT related FROM edges) GROUP BY 1, 2, 3",
+        "found": f"SELECT query_id, kb_id, max(mentions) AS mentions FROM {asked} JOIN edges USING (concept) "
+                 "JOIN holders USING (category, related) GROUP BY 1, 2",
+        "rescued": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY mentions DESC, kb_id) AS rank FROM found",
+    }
 
-@query(with_tables("SELECT query_id, kb_id, mentions, rank FROM rescued WHERE rank <= 3", "entries", extra=RESCUE))
+
+@query(with_tables("SELECT query_id, kb_id, mentions, CAST(rank AS INTEGER) AS rank FROM rescued WHERE rank <= 3", "entries", extra={**COS, **rescue("mentioned")}))
 def graph_rescue(spark: SparkSession, d: str) -> DataFrame:
     kb = V.entries(spark, d)
     asked = V.as_queries(kb)
@@ -228,7 +241,18 @@ def graph_rescue(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(with_tables("""
-    SELECT query_id, kb_id, CAST(NULL AS VARCHAR) AS filename, rank, 'retrieval' AS via FROM nearest
+    SELECT query_id, kb_id, CAST(rank AS INTEGER) AS rank, 'graph' AS via FROM rescued WHERE rank <= 3
+    UNION ALL SELECT query_id, kb_id, CAST(rank AS INTEGER), 'hybrid' FROM ranked
+    WHERE rank <= 3 AND query_id NOT IN (SELECT query_id FROM rescued)""",
+    "entries", extra={**HYBRID, **rescue("mentioned")}))
+def retrieve(spark: SparkSession, d: str) -> DataFrame:
+    kb = V.entries(spark, d)
+    pairs = spark.createDataFrame(V.GRAPH_PAIRS, "concept_a string, concept_b string, relationship_type string, notes string")
+    return Q.retrieve(V.as_queries(kb), kb, graph=pairs, min_score=0.3, exclude_self=True)
+
+
+@query(with_tables("""
+    SELECT query_id, kb_id, CAST(NULL AS VARCHAR) AS filename, CAST(rank AS INTEGER) AS rank, 'retrieval' AS via FROM nearest
     WHERE rank = 1 AND score >= 0.3
     UNION ALL SELECT kb_id, NULL, CASE WHEN kb_id % 2 = 0 THEN 'CANONICAL_skill_order-shipping-us.md'
         ELSE 'CANONICAL_skill_return-processing-intl.md' END, 1, 'mapping' FROM entries

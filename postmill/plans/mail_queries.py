@@ -358,7 +358,7 @@ def shop_orders(spark: SparkSession, d: str) -> DataFrame:
     return V.shop_orders(spark, d)
 
 
-@query(with_tables("SELECT message_id, store, order_no, route, age AS order_age_days FROM routed",
+@query(with_tables("SELECT message_id, store, order_no, route, CAST(age AS INTEGER) AS order_age_days FROM routed",
                    "order_mail", "shop_orders", extra=RT))
 def route_orders(spark: SparkSession, d: str) -> DataFrame:
     return _routed(spark, d).select("message_id", "store", "order_no", "route", "order_age_days")
@@ -378,6 +378,15 @@ def mark_routed(spark: SparkSession, d: str) -> DataFrame:
     return L.mark_routed(_routed(spark, d)).select("message_id", joined("labels").alias("labels"))
 
 
+@query(with_tables("""
+    SELECT message_id, CASE WHEN list_contains(labels, 'US_WISMO') THEN 'US_WISMO' ELSE 'LIFESTYLE_WISMO' END AS tag
+    FROM inbox WHERE received_at >= TIMESTAMP '2024-01-24' AND is_unread
+      AND list_has_any(labels, ['US_WISMO', 'LIFESTYLE_WISMO'])
+      AND NOT list_has_any(labels, ['REVIEW_DRAFT', 'ESCALATION_NEEDED'])""", "inbox"))
+def wismo_queue(spark: SparkSession, d: str) -> DataFrame:
+    return O.wismo_queue(V.inbox(spark, d), V.MAIL_NOW).select("message_id", "tag")
+
+
 def _long(ts: str) -> str:
     return f"strftime({ts}, '%B %d, %Y')"
 
@@ -428,7 +437,7 @@ def order_numbers(spark: SparkSession, d: str) -> DataFrame:
 @query("""
     SELECT o_orderkey, CAST(o_orderdate AS DATE) + CASE isodow(o_orderdate) WHEN 4 THEN 4 WHEN 5 THEN 4 WHEN 6 THEN 3
              ELSE 2 END AS check_by, strftime(o_orderdate, '%B %d, %Y') AS placed,
-           date_diff('day', o_orderdate, TIMESTAMP '2001-08-03') AS age
+           CAST(date_diff('day', o_orderdate, TIMESTAMP '2001-08-03') AS INTEGER) AS age
     FROM orders""")
 def order_dates(spark: SparkSession, d: str) -> DataFrame:
     day = F.to_date("o_orderdate")
@@ -547,7 +556,7 @@ _PHRASES = sorted(W.BANNED_PHRASES)
 
 
 @query(with_tables(f"""
-    SELECT message_id, words AS word_count, array_to_string(list_concat(
+    SELECT message_id, CAST(words AS INTEGER) AS word_count, array_to_string(list_concat(
         list_sort(list_filter([{', '.join(map(text, _PHRASES))}],
             lambda p: regexp_matches(lower(t), '(^|[^0-9a-z_])' || p || '([^0-9a-z_]|$)'))),
         list_filter([CASE WHEN regexp_matches(t, '(?is)\\bnot only\\b.*\\bbut also\\b') THEN 'not only ... but also' END,
@@ -647,7 +656,7 @@ def staging_counts(spark: SparkSession, d: str) -> DataFrame:
     return stats.withColumn("unreadable", rejects.agg(F.count(F.lit(1))).scalar())
 
 
-@query("SELECT doc_id, length(text) AS n_chars, md5(text) AS digest FROM documents")
+@query("SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS digest FROM documents")
 def mime_body(spark: SparkSession, d: str) -> DataFrame:
     """Payload trees of four shapes around each document: single part, plain first, nested, attachment first."""
     def part(kind: str, data) -> Column:

@@ -21,8 +21,8 @@ def scored(rows: str) -> str:
         SELECT *, round(greatest(0, least(100, 100 - edit_pct)), 4) AS accuracy_score,
             CASE WHEN edit_pct = 0 THEN 'PERFECT' WHEN edit_pct < 5 THEN 'MINOR_EDIT' WHEN edit_pct <= 50 THEN 'MAJOR_EDIT'
                  ELSE 'REWRITE' END AS result
-        FROM (SELECT *, length(draft_text) AS total_chars,
-                levenshtein({one_byte('draft_text')}, {one_byte('body')}) AS edit_distance,
+        FROM (SELECT *, CAST(length(draft_text) AS INTEGER) AS total_chars,
+                CAST(levenshtein({one_byte('draft_text')}, {one_byte('body')}) AS INTEGER) AS edit_distance,
                 CASE WHEN length(draft_text) > 0
                      THEN round(levenshtein({one_byte('draft_text')}, {one_byte('body')}) / length(draft_text) * 100, 4)
                      ELSE 0.0 END AS edit_pct
@@ -222,7 +222,7 @@ def _head(section: int, title: str) -> str:
 
 _HEAD = " || ' ' || ".join(f"lpad('{c}', {w}, ' ')" for c, w in (("PERFECT", 7), ("MINOR", 6), ("MAJOR", 6), ("REWRITE", 7)))
 REPORT = f"""
-    SELECT row_number() OVER (ORDER BY section, pos, name) AS line_no, line FROM (
+    SELECT CAST(row_number() OVER (ORDER BY section, pos, name) AS INTEGER) AS line_no, line FROM (
     SELECT 0 AS section, CAST(unnest([0, 1]) AS DOUBLE) AS pos, '' AS name,
            unnest([{_RULE}, '  WEEKLY ACCURACY REPORT']) AS line
     UNION ALL SELECT 1, 0, '', '  Generated: 2001-10-30 12:00 UTC' UNION ALL SELECT 2, 0, '', {_RULE}
