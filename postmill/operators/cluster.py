@@ -8,11 +8,14 @@ forest, so the links stay linear even where thousands of near copies meet.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ..functions.vectors import cosine
 from ..functions.text import explode_terms, terms, text_or_empty
 from ..session import written
 from . import blocks
@@ -31,13 +34,28 @@ def _least_labels(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tupl
         left, right = l, r
 
 
+PIVOTS = 64
+# Scores are rounded; near 1 that moves an angle by up to the square root of twice the rounding.
+ANGLE_SLACK = 2 * math.sqrt(2 * 10.0**-blocks.DIGITS)
+
+
 def similarity_links(kb: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(kb_id, linked): links whose connected parts are those of the full similarity graph."""
-    rows = kb.select("kb_id", "category", "vector")
+    """(kb_id, linked): links whose connected parts are those of the full similarity graph.
+
+    Equal vectors are linked to the least id among them first, so copies, however many, take
+    part once. What is left of a category that fits one block is compared at once; larger
+    categories are cut into cells, and cells too far apart are not compared.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
+    rows = kb.select("kb_id", "category", "vector").filter(F.exists("vector", lambda x: x != 0))
     id_type = rows.schema["kb_id"].dataType
     schema = StructType([StructField("kb_id", id_type), StructField("linked", id_type)])
-    left_counts = blocks.block_counts(kb, "category", block_rows, "n__l")
-    counts = written(left_counts.withColumn("n__r", F.col("n__l")), "counts")
+    heads = written(
+        rows.groupBy("category", "vector").agg(F.min("kb_id").alias("kb_id"), F.count(F.lit(1)).alias("_copies")), "heads"
+    )
+    copied = heads.filter(F.col("_copies") > 1).select("category", "vector", F.col("kb_id").alias("linked"))
+    heads = heads.drop("_copies")
 
     def unit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"kb_id": [], "linked": []})
@@ -51,20 +69,80 @@ def similarity_links(kb: DataFrame, threshold: float, block_rows: int = BLOCK_RO
         ids, code = np.unique(np.concatenate([l_ids, r_ids]), return_inverse=True)
         if len(ids) < len(code):
             # Both sides are the same block: one label per id.
-            l, r = _least_labels(near | (l_ids[:, None] == r_ids[None, :]), code[: len(l_ids)], code[len(l_ids) :])
-        else:
-            l, r = _least_labels(near, code[: len(l_ids)], code[len(l_ids) :])
+            near |= l_ids[:, None] == r_ids[None, :]
+        l, r = _least_labels(near, code[: len(l_ids)], code[len(l_ids) :])
         found = pd.DataFrame({"kb_id": np.concatenate([l_ids, r_ids]), "linked": ids[np.concatenate([l, r])]})
         return found[found["kb_id"] != found["linked"]].drop_duplicates()
 
-    def side(table: DataFrame, own: str, other: str) -> DataFrame:
-        return blocks.blocked(table, counts, "category", "kb_id", own, other).filter(F.col("_l") <= F.col("_r"))
-
-    units = ["category", "_l", "_r"]
-    again = rows.toDF(*rows.columns)
-    return (
-        side(rows, "_l", "_r").groupBy(*units).cogroup(side(again, "_r", "_l").groupBy(*units)).applyInPandas(unit, schema)
+    celled, units = _cells(heads, threshold, block_rows)
+    keys = ["category", "_cell", "_block", "_other", "_other_block"]
+    left = celled.join(units, ["category", "_cell", "_block"])
+    again = celled.toDF("kb_id", "category", "vector", "_other", "_other_block")
+    right = again.join(units.toDF(*units.columns), ["category", "_other", "_other_block"])
+    links = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(unit, schema)
+    if copied.isEmpty():
+        return links
+    copies = rows.join(copied, ["category", "vector"]).filter(F.col("kb_id") != F.col("linked"))
+    return links.unionByName(copies.select("kb_id", "linked"))
+
+
+def _cells(heads: DataFrame, threshold: float, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``_cell`` and ``_block``, and the pairs of blocks that have to be compared.
+
+    A cell holds the rows nearest to one of up to ``PIVOTS`` rows of the category. Angles obey
+    the triangle inequality: rows of two cells can only reach the threshold if their pivots
+    are no further apart than its angle and both cells' radii together. Categories of one
+    block stay one cell.
+    """
+    sizes = written(
+        heads.groupBy("category").agg(F.count(F.lit(1)).alias("_n"), F.min("kb_id").alias("_cell")), "sizes"
+    )
+    zero = F.lit(0)
+    small = sizes.filter(F.col("_n") <= block_rows)
+    celled = heads.join(small.select("category", "_cell"), "category").select(
+        "kb_id", "category", "vector", "_cell", zero.alias("_block")
+    )
+    units = small.select(
+        "category", "_cell", zero.alias("_block"), F.col("_cell").alias("_other"), zero.alias("_other_block")
+    )
+    large = sizes.filter(F.col("_n") > block_rows).select("category")
+    if large.isEmpty():
+        return celled, units
+    by_hash = Window.partitionBy("category").orderBy(F.xxhash64("kb_id"), "kb_id")
+    many = heads.join(large, "category", "left_semi")
+    pivots = written(
+        many.withColumn("_n", F.row_number().over(by_hash)).filter(F.col("_n") <= PIVOTS).drop("_n"), "pivots"
+    )
+    nearest = blocks.block_top_k(
+        many.withColumnRenamed("kb_id", "query_id"), pivots, blocks.cosine_matrix, 1, right_rows=PIVOTS
+    )
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("score"))))
+    placed = written(
+        many.join(nearest.select(F.col("query_id").alias("kb_id"), F.col("kb_id").alias("_cell"), angle.alias("_angle")), "kb_id")
+        .select("kb_id", "category", "vector", "_cell", "_angle"), "placed",
+    )
+    stats = written(
+        placed.groupBy("category", "_cell").agg(
+            F.max("_angle").alias("_radius"), F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_blocks")
+        ).join(pivots.select(F.col("kb_id").alias("_cell"), "vector"), "_cell"), "cells",
+    )
+    placed_blocks = placed.join(stats.select("category", "_cell", "_blocks"), ["category", "_cell"]).select(
+        "kb_id", "category", "vector", "_cell", F.pmod(F.xxhash64("kb_id"), F.col("_blocks")).cast("int").alias("_block")
+    )
+    other = stats.select(
+        "category", F.col("_cell").alias("_other"), F.col("_radius").alias("_other_radius"),
+        F.col("_blocks").alias("_other_blocks"), F.col("vector").alias("_other_vector"),
+    )
+    apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(F.col("vector"), F.col("_other_vector")))))
+    reach = math.acos(threshold) + F.col("_radius") + F.col("_other_radius") + 3 * ANGLE_SLACK
+    compared = (
+        stats.join(other, "category").filter((F.col("_cell") <= F.col("_other")) & (apart <= reach))
+        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        .withColumn("_other_block", F.explode(F.sequence(F.lit(0), F.col("_other_blocks") - 1)))
+        .filter((F.col("_cell") < F.col("_other")) | (F.col("_block") <= F.col("_other_block")))
+        .select("category", "_cell", "_block", "_other", "_other_block")
     )
+    return celled.unionByName(placed_blocks), units.unionByName(compared)
 
 
 def connected_components(links: DataFrame, a: str = "kb_id", b: str = "linked") -> DataFrame:

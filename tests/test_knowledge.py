@@ -217,10 +217,25 @@ def test_clusters_equal_brute_force_in_any_blocking(spark):
         assert got == want
 
 
+def test_cells_skip_far_pairs_and_lose_no_link(spark, monkeypatch):
+    """Six tight groups in one category, few pivots: distant cells are not compared, the clusters stay exact."""
+    monkeypatch.setattr(K, "PIVOTS", 8)
+    rng = np.random.default_rng(5)
+    centres = np.eye(6) * 3
+    rows = [(i, "c", "", [float(x) for x in centres[i % 6] + rng.normal(size=6) * 0.35]) for i in range(120)]
+    _, kb = frames(spark, rows)
+    _, units = K._cells(kb.select("category", "vector", "kb_id"), 0.97, 10)
+    cells = {(r["_cell"], r["_block"]) for r in units.collect()} | {(r["_other"], r["_other_block"]) for r in units.collect()}
+    assert units.count() < len(cells) * (len(cells) + 1) // 2
+    got = {r["kb_id"]: r["cluster"] for r in K.cluster(kb, 0.97, 10).collect()}
+    want = components(rows, 0.97)
+    assert got == want and 6 < len(set(want.values())) < 120
+
+
 def test_copies_give_linear_links(spark):
     """400 copies of one vector: a forest of links, not 80,000 pairs."""
     kb = spark.range(400).select(F.col("id").alias("kb_id"), F.lit("c").alias("category"), F.array(F.lit(1.0), F.lit(2.0)).alias("vector"))
-    assert K.similarity_links(kb, 0.99, 64).count() < 400 * 8
+    assert K.similarity_links(kb, 0.99, 64).count() == 399
     assert K.cluster(kb, 0.99, 64).select("cluster").distinct().count() == 1
 
 
