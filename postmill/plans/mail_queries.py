@@ -11,7 +11,7 @@ from ..schemas import DRAFT_LOG, evolve
 from ..sources import mime, scans, staging
 from . import views as V
 from .catalog import query
-from .oracle import any_of, has, one_byte, pick, starts, text, with_tables  # noqa: F401
+from .oracle import any_of, has, pick, starts, text, with_tables
 
 NL = "chr(10)"
 def customer() -> Column:
