@@ -44,14 +44,16 @@ def safe_ratio(part: Column, whole: Column) -> Column:
 def score(pairs: DataFrame, draft_col: str = "draft_text", sent_col: str = "final_sent") -> DataFrame:
     """Add edit_distance, total_chars, edit_pct, accuracy_score, result and empty_draft to (draft, sent) rows.
 
-    The projections are stacked so that each distance is computed once.
+    The same ladder as ``edit_distance``, as stacked projections, so that each step runs once.
     """
     draft, sent = text_or_empty(F.col(draft_col)), text_or_empty(F.col(sent_col))
     return (
         pairs.withColumn("total_chars", F.length(draft))
-        .withColumn("edit_distance", edit_distance(draft, sent))
+        .withColumn("_near", F.when(draft == sent, F.lit(0)).otherwise(F.levenshtein(draft, sent, NARROW_BAND)))
+        .withColumn("edit_distance", F.when(F.col("_near") < 0, F.levenshtein(draft, sent)).otherwise(F.col("_near")))
         .withColumn("edit_pct", edit_pct(F.col("edit_distance"), F.col("total_chars")))
         .withColumn("accuracy_score", accuracy_score(F.col("edit_pct")))
         .withColumn("result", result_band(F.col("edit_pct")))
         .withColumn("empty_draft", F.col("total_chars") == 0)
+        .drop("_near")
     )
