@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash, quality  # noqa: F401
+from . import decontaminate, minhash, quality  # noqa: F401
 from .registry import QUERIES, SQL
 
 
