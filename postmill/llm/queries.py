@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash, mixing, quality  # noqa: F401
+from . import decontaminate, minhash, mixing, quality, sharding  # noqa: F401
 from .registry import QUERIES, SQL
 
 
