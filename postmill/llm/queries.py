@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import decontaminate, minhash, mixing, quality, sharding  # noqa: F401
 from .registry import QUERIES, SQL
 
 
 def load() -> tuple[dict, dict]:
-    return dict(QUERIES), dict(SQL)
+    sql = dict(SQL)
+    if corpus_pipeline.ORACLE_SQL is not None:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return {**QUERIES, "pipeline": corpus_pipeline.run}, sql
