@@ -1,10 +1,10 @@
 """Quality classifier: supervised subword embeddings.
 
-A text's features are its words, the words' character n-grams and its word pairs, hashed into
+A text's features are its words, the words' character n-grams (3 and 4 bytes) and its word pairs, hashed into
 a table of vectors; a text is the mean of its vectors, and a softmax layer gives the classes.
 Vectors and output layer are learned by stochastic gradient descent in numpy on a bounded,
 balanced sample of labelled rows. For scoring, vectors and layer are multiplied out to one
-number per class and bucket, so that a text costs one lookup per word and word pair.
+number per class and bucket, and texts are hashed as whole arrays of bytes.
 
 Behaviour: null and empty texts have no features and score by the softmax of zeros (an even
 chance); every row is scored by itself, so repeated rows get equal scores; several labels of
@@ -14,11 +14,11 @@ and the text are neither read nor returned.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import ODD, U64, mix, remainder, rows_of, table
@@ -26,7 +26,6 @@ from .registry import query
 
 BUCKET_BITS = 18
 DIMENSIONS = 16
-NGRAMS = (3, 4)
 EPOCHS = 6
 RATE = 0.5
 #: Training rows of each class at most, and bytes of their texts in all at most.
@@ -36,29 +35,63 @@ THRESHOLD = 0.3
 REPEATED = 0  # the bucket of a word pair that is one word twice
 
 
-def word_features(word: bytes) -> np.ndarray:
-    framed = b"<" + word + b">"
-    found = [xxhash.xxh64_intdigest(word, 1)]
-    for n in NGRAMS:
-        found += [xxhash.xxh64_intdigest(framed[i : i + n], 2) for i in range(len(framed) - n + 1)]
-    return (np.array(found, dtype=U64) >> U64(64 - BUCKET_BITS)).astype(np.int64)
-
-
-def pair_features(hashes: np.ndarray) -> np.ndarray:
-    if len(hashes) < 2:
-        return np.empty(0, dtype=np.int64)
-    a, b = hashes[:-1], hashes[1:]
-    bucket = (mix(a * ODD[0] + b * ODD[1]) >> U64(64 - BUCKET_BITS)).astype(np.int64)
-    return np.where(a == b, REPEATED, bucket)
-
-
-def features(text: bytes) -> np.ndarray:
-    words = text.split()
-    if not words:
-        return np.empty(0, dtype=np.int64)
-    known = {w: word_features(w) for w in set(words)}
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=U64, count=len(words))
-    return np.concatenate([*(known[w] for w in words), pair_features(hashes)])
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+BYTES = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
+BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
+CHUNK = 1 << 20
+POWERS = [np.ones(1, dtype=U64), np.ones(1, dtype=U64)]  # of BASE and of its inverse, as far as they were needed
+
+
+def powers(n: int) -> list[np.ndarray]:
+    if len(POWERS[0]) < n:
+        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            row = np.full(2 * n, base, dtype=U64)
+            row[0] = 1
+            POWERS[k] = np.cumprod(row, dtype=U64)
+    return POWERS
+
+
+def chunks(text: bytes):
+    """The text in pieces of about a megabyte, cut at white space only."""
+    start = 0
+    while start < len(text):
+        end = start + CHUNK
+        while end < len(text) and not SPACE[text[end]]:
+            end += 1
+        yield text[start:end]
+        start = end
+
+
+def features(text: bytes) -> Iterator[np.ndarray]:
+    """Buckets of the text's words, their character n-grams (framed by a blank) and its word pairs, piece by piece."""
+    last = np.empty(0, dtype=U64)
+    for piece in chunks(text):
+        raw = np.frombuffer(b" " + piece + b" ", dtype=np.uint8)
+        blank = SPACE[raw]
+        edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        starts, ends = edges[::2], edges[1::2]
+        if not len(starts):
+            continue
+        x = np.where(blank, np.uint8(32), raw).astype(np.uint32)
+        three = x[:-2] | (x[1:-1] << np.uint32(8)) | (x[2:] << np.uint32(16))
+        inner = ~blank[1:-1]
+        grams = [three[inner]]
+        if len(x) > 3:
+            grams.append((three[:-1] | (x[3:] << np.uint32(24)))[inner[:-1] & inner[1:]] ^ np.uint32(0x5BD1E995))
+        # a word's hash from running sums over the piece: (sum of byte * base**place), brought back to place 0
+        up, down = powers(len(raw))
+        total = np.zeros(len(raw) + 1, dtype=U64)
+        np.cumsum(BYTES[raw] * up[: len(raw)], dtype=U64, out=total[1:])
+        words = mix((total[ends] - total[starts]) * down[starts])
+        hashes = np.concatenate([last, words])
+        last = words[-1:]
+        first, second = hashes[:-1], hashes[1:]
+        pairs = (mix(first * ODD[0] + second * ODD[1]) >> U64(64 - BUCKET_BITS)).astype(np.int64)
+        yield np.concatenate([
+            (words >> U64(64 - BUCKET_BITS)).astype(np.int64),
+            *((g * np.uint32(2654435761) >> np.uint32(32 - BUCKET_BITS)).astype(np.int64) for g in grams),
+            np.where(first == second, REPEATED, pairs),
+        ])
 
 
 @dataclass
@@ -78,9 +111,12 @@ def train(rows: list[tuple[bytes, int]], classes: int = 2, seed: int = 7) -> Mod
     layer = np.zeros((classes, DIMENSIONS), dtype=np.float32)
     bags = []
     for text, label in rows:
-        found = features(text)
-        if len(found):
-            ids, n = np.unique(found, return_counts=True)
+        found = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+        for part in features(text):
+            found += np.bincount(part, minlength=1 << BUCKET_BITS)
+        ids = np.flatnonzero(found)
+        if len(ids):
+            n = found[ids]
             bags.append((ids, (n / n.sum()).astype(np.float32), label))
     if len({label for _, _, label in bags}) < 2:
         return Model(np.zeros((1 << BUCKET_BITS, classes), dtype=np.float32))
@@ -128,59 +164,31 @@ def sample(docs: DataFrame, labels: DataFrame, usable: Column) -> list[tuple[byt
     return rows
 
 
-class WordSums(dict):
-    """Word -> place in arrays of its hash, its summed logits and its number of features."""
-
-    def __init__(self, model: Model, most: int = 200_000):
-        super().__init__()
-        self.model, self.most = model, most
-        self.hashes = np.empty(most + 1, dtype=U64)
-        self.sums = np.empty((most + 1, model.logits.shape[1]), dtype=np.float32)
-        self.counts = np.empty(most + 1, dtype=np.int64)
-
-    def __missing__(self, word: bytes) -> int:
-        at = len(self)
-        found = word_features(word)
-        self.hashes[at] = xxhash.xxh64_intdigest(word)
-        self.sums[at] = self.model.logits[found].sum(axis=0)
-        self.counts[at] = len(found)
-        self[word] = at
-        return at
-
-    def of(self, text: bytes) -> tuple[np.ndarray, int]:
-        """Summed logits and number of features, in pieces that fit the table."""
-        total, n, last = np.zeros(self.sums.shape[1]), 0, np.empty(0, dtype=U64)
-        words = text.split()
-        step = self.most // 4
-        for i in range(0, len(words), step):
-            part = words[i : i + step]
-            if len(self) + len(part) > self.most:
-                self.clear()
-            at = np.fromiter(map(self.__getitem__, part), dtype=np.int64, count=len(part))
-            hashes = np.concatenate([last, self.hashes[at]])
-            pairs = pair_features(hashes)
-            total += self.sums[at].sum(axis=0, dtype=np.float64)
-            total += self.model.logits[pairs].sum(axis=0, dtype=np.float64)
-            n += int(self.counts[at].sum()) + len(pairs)
-            last = hashes[-1:]
-        return total, n
+class Scorer:
+    """Class probabilities of texts; a text's logits are summed against those of the first class."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.against = [np.ascontiguousarray(model.logits[:, k] - model.logits[:, 0]) for k in range(1, model.logits.shape[1])]
+
+    def of(self, texts: list[bytes]) -> np.ndarray:
+        sums, counts = np.zeros((len(texts), len(self.against) + 1)), np.zeros(len(texts), dtype=np.int64)
+        for row, text in enumerate(texts):
+            for found in features(text):
+                counts[row] += len(found)
+                for k, column in enumerate(self.against):
+                    sums[row, k + 1] += column[found].sum(dtype=np.float64)
+        return self.model.probabilities(sums, counts)
 
 
 def score(docs: DataFrame, model: Model, target: int = 1) -> DataFrame:
     """(doc_id, score): the probability of class ``target``, one row per row of ``docs``."""
 
     def run(batches):
-        words = WordSums(model)
+        scorer = Scorer(model)
         for batch in batches:
-            ids, sums, counts = [], [], []
-            for doc_id, text in rows_of(batch, "doc_id", "text"):
-                total, n = words.of(text)
-                ids.append(doc_id)
-                sums.append(total)
-                counts.append(n)
-            if ids:
-                p = model.probabilities(np.array(sums), np.array(counts))[:, target]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(p, pa.float64())], ["doc_id", "score"])
+            p = scorer.of([text for (text,) in rows_of(batch, "text")])[:, target]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
@@ -204,11 +212,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     model = fit(docs, table(spark, sf_dir, "labels"))
 
     def keep(batches):
-        words = WordSums(model)
+        scorer = Scorer(model)
         for batch in batches:
-            found = [words.of(text) for (text,) in rows_of(batch, "text")]
-            if found:
-                p = model.probabilities(np.array([t for t, _ in found]), np.array([n for _, n in found]))[:, 1]
-                yield batch.filter(pa.array(p >= THRESHOLD))
+            yield batch.filter(pa.array(scorer.of([text for (text,) in rows_of(batch, "text")])[:, 1] >= THRESHOLD))
 
     return docs.mapInArrow(keep, docs.schema)
