@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, minhash, mixing, quality, rules, sharding  # noqa: F401
+from . import chat, decontaminate, minhash, mixing, quality, rules, sharding  # noqa: F401
 from .registry import QUERIES, SQL
 
 
