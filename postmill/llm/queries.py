@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, minhash, mixing, passages, quality, rules, sharding, tokenfile  # noqa: F401
+from . import chat, decontaminate, minhash, mixing, passages, pitman_yor, quality, rules, sharding, tokenfile  # noqa: F401
 from .registry import QUERIES, SQL
 
 
