@@ -127,38 +127,30 @@ def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     Every round is a written table; a hub's edges are never gathered, only their minimum is taken.
     ``start`` gives components known before, which ``edges`` may join further; its nodes stay.
     """
-    spark = edges.sparkSession
-    if start is None:
-        links = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
-        nodes = links.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
-    else:  # contract what is known: edges between components
+    ab = edges.select("a", "b")
+    if start is not None:  # contract what is known: edges between components
         known = start.withColumnRenamed("component", "c")
         ab = (
-            edges.join(known.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a", "left")
+            ab.join(known.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a", "left")
             .join(known.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b", "left")
-            .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a != b")
+            .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
         )
-        links = written(ab.union(ab.select("b", "a")).distinct(), "links")
-        nodes = links.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
-    labels = written(nodes, "labels")
+    ab = ab.filter("a != b")
+    links = written(ab.union(ab.select("b", "a")).distinct(), "links")
+    if start is not None and links.limit(1).count() == 0:
+        return start
+    labels = links.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
     while True:
         offered = (
             links.join(labels.withColumnRenamed("node", "a"), "a")
             .groupBy(F.col("b").alias("node")).agg(F.min("component").alias("offer"))
         )
-        lower = written(
-            labels.join(offered, "node", "left")
-            .select("node", F.col("component").alias("was"), F.least("component", F.coalesce("offer", "component")).alias("component")),
-            "labels",
-        )
-        jump = lower.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        after = written(
-            lower.join(jump, "component", "left").select("node", "was", F.least("component", F.coalesce("next", "component")).alias("component")),
-            "labels",
-        )
-        moved = after.filter("was != component").limit(1).count()
+        lower = labels.join(offered, "node").select(
+            "node", F.col("component").alias("was"), F.least("component", "offer").alias("component"))
+        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        after = written(lower.join(jump, "component").select("node", "was", F.least("component", "next").alias("component")), "labels")
         labels = after.select("node", "component")
-        if not moved:
+        if after.filter("was != component").limit(1).count() == 0:
             break
     if start is None:
         return labels

@@ -2,10 +2,11 @@
 
 One hash orders a document's shingles; its top bits name the bin, and each bin keeps its
 smallest shingle. An empty bin borrows from the first filled bin of a random order of its own.
-Bands of bins are buckets. Inside a bucket only stars are drawn, from a few hubs to the other
+Bands of bins are buckets. Inside a bucket only a star is drawn, from one hub to the other
 members, so candidate pairs grow with the bucket's size and not with its square. Candidates are
-confirmed on the full shingle sets. Buckets whose members are still in several components get
-more hubs (1, 4, 16, ...) until every such pair has been compared, so stars lose no link.
+confirmed on the full shingle sets. What a hub cannot link may still be linked beside it: members of
+buckets that hold several components after that are keyed again by many finer keys of twice
+as many bins, each shared by hardly any but near copies, and stars are drawn in these buckets.
 
 Equal sets are one node from the start: a group of copies enters the search once.
 
@@ -20,15 +21,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
 
-from .common import U64, WordHashes, components, rows_of, shingles, table, written
+from .common import ODD, U64, WordHashes, components, mix, rows_of, shingles, table, written
 from .registry import query
 
 BIN_BITS = 8
 ROWS = 6  # bins of a band
 BANDS = (1 << BIN_BITS) // ROWS
 FIRST_BANDS = 3  # a first round over so many bands joins most copies, so that later rounds compare little
+FINE_ROWS, FINE_BANDS = 12, 256
 PER_PART = 256  # members of a hub that one copy of its set serves
 
 
@@ -40,6 +41,7 @@ def donor_orders(seed: int = 5) -> np.ndarray:
 
 
 DONORS = donor_orders()
+FINE = np.stack([x[:FINE_ROWS] for x in donor_orders(6)])[:FINE_BANDS]  # the bins of each finer key
 
 
 def shingle_set(text: bytes, hashes: WordHashes, size: int) -> np.ndarray:
@@ -62,8 +64,6 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 
 def band_keys(found: np.ndarray) -> np.ndarray:
-    from .common import ODD, mix
-
     rows = signature(found)[: BANDS * ROWS].reshape(BANDS, ROWS)
     out = np.arange(BANDS, dtype=U64) * ODD[4]
     for k in range(ROWS):
@@ -139,6 +139,44 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def open_buckets(members: DataFrame, known: DataFrame) -> DataFrame:
+    """Members (band, key, node, n, c) of the buckets that hold more than one component; c is the node's component."""
+    labelled = written(members.join(known.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node")), "labelled")
+    several = labelled.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("band", "key")
+    return labelled.join(written(several, "several"), ["band", "key"])
+
+
+def stars(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): in each bucket its smallest member with each member of another component whose size allows a link."""
+    members = written(members, "left")
+    hubs = members.groupBy("band", "key").agg(F.min(F.struct("node", "n", "c")).alias("hub"))
+    return (
+        members.join(written(hubs, "hubs"), ["band", "key"]).filter("c != hub.c")
+        .filter(100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
+        .select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+    )
+
+
+def finer(sets: DataFrame) -> DataFrame:
+    """(band, key, node, n) for keys of ``FINE_ROWS`` bins, of which there are ``FINE_BANDS``: unlike texts hardly ever share one."""
+
+    def run(batches):
+        for batch in batches:
+            keys = []
+            for found in batch.column("set"):
+                bins, out = signature(np.frombuffer(found.as_buffer(), U64)), np.arange(FINE_BANDS, dtype=U64)
+                for k in range(FINE_ROWS):
+                    out = mix(out * ODD[k % 5] + bins[FINE[:, k]])
+                keys.append(out.view(np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array(keys, pa.list_(pa.int64()))], ["node", "n", "keys"])
+
+    keyed = sets.select("node", "n", "set").mapInArrow(run, "node long, n long, keys array<long>")
+    rows = keyed.select("node", "n", F.posexplode("keys").alias("band", "key"))
+    shared = rows.groupBy("band", "key").agg(F.count("*").alias("m")).filter("m > 1").select("band", "key")
+    return written(rows, "fine").join(written(shared, "fine-shared"), ["band", "key"]).select("band", "key", "node", "n")
+
+
 def link(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     spark = docs.sparkSession
@@ -158,40 +196,16 @@ def link(docs: DataFrame, size: int, percent: int) -> DataFrame:
     sets = written(full_sets(docs, members.select("node").distinct(), size).dropDuplicates(["node"]), "sets")
 
     known = components(written(twice, "twice"))
-    tested, hubs = 0, 1
-    bands = FIRST_BANDS
-    while True:
-        labelled = (
-            members.filter(F.col("band") < bands)
-            .join(known.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-        )
-        open_ = (
-            labelled.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-            .filter("lo != hi").select("band", "key")
-        )
-        left = written(labelled.join(written(open_, "open"), ["band", "key"]), "left")
-        if left.limit(1).count() == 0 and bands == BANDS:
-            break
-        # Spark keeps only the first ranks of a bucket already on the map side
-        place = Window.partitionBy("band", "key").orderBy("node")
-        head = left.withColumn("at", F.row_number().over(place)).filter(F.col("at") <= hubs).filter(F.col("at") > tested).select(
-            "band", "key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
-        pairs = (
-            written(head, "hubs").join(left, ["band", "key"])
-            .filter("node > a and c != c_a")
-            .filter(100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a"))
-            .select("a", F.col("node").alias("b")).distinct()
-        )
-        pairs = written(pairs, "pairs")
-        links = written(confirmed(pairs, sets, percent), "confirmed")
-        known = components(links, known)
-        if bands < BANDS:
-            bands = BANDS
-        else:
-            more = left.groupBy("band", "key").agg(F.count("*").alias("m")).agg(F.max("m").alias("m")).first()["m"] or 0
-            if hubs >= more:
-                break
-            tested, hubs = hubs, hubs * 4
+    tested = None
+    for step in ("first bands", "all bands", "finer keys"):
+        some = members.filter(F.col("band") < FIRST_BANDS) if step == "first bands" else members
+        if step == "finer keys":
+            some = finer(sets.join(written(open_buckets(members, known).select("node").distinct(), "open"), "node"))
+        pairs = stars(open_buckets(some, known), percent)
+        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        if pairs.limit(1).count():
+            known = components(written(confirmed(pairs, sets, percent), "confirmed"), known)
     owner = written(
         nodes.select("print", "node").join(known, "node", "left").select("print", F.coalesce("component", "node").alias("component")), "owner"
     )
