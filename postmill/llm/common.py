@@ -23,6 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a working table that this run has made and read for the last time."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -161,6 +169,6 @@ def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
 
 
 __all__ = [
-    "ODD", "U64", "WordHashes", "buckets_for", "components", "mix", "pieces", "ranked", "remainder", "remove", "rows_of",
+    "ODD", "U64", "WordHashes", "buckets_for", "components", "fresh", "mix", "pieces", "ranked", "remainder", "remove", "rows_of",
     "shingles", "table", "work_path", "written",
 ]

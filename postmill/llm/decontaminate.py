@@ -26,7 +26,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import U64, rows_of, table, written
+from .common import U64, fresh, rows_of, table, written
 from .registry import query
 
 WINDOW = 13
@@ -291,5 +291,5 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """The documents that are not contaminated by the benchmark items."""
     found = contamination(docs, table(spark, sf_dir, "benchmark"))
     # ids are unique here: the stage follows de-duplication; rows without an id are judged together
-    bad = written(found.filter("contaminated").select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]), "left_anti")
+    bad = written(found.filter("contaminated").select(F.col("doc_id").alias(other := fresh(docs, "other_id"))).distinct(), "contaminated")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(other)), "left_anti")

@@ -229,8 +229,8 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each group of near copies; rows without an id stay."""
     out = near_duplicates(docs, size=5, percent=80)
-    kept = written(out.filter("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct(), "kept")
-    named = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
+    kept = written(out.filter("kept and doc_id is not null").select("doc_id").distinct(), "kept")
+    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").select(docs.columns)
     return named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
 
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from .common import ranked, table, written
+from .common import fresh, ranked, table, written
 from .registry import query
 
 WEIGHTS = (3, 1, 2)
@@ -158,7 +158,8 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its copies say; rows of one doc_id follow one decision."""
-    mixed = mix_documents(docs).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
-    mixed = written(mixed.filter("_copies > 0").withColumnRenamed("doc_id", "_id"), "mixed")
-    taken = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["_id"]))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    other, copies, copy = (fresh(docs, name) for name in ("other_id", "n_copies", "copy"))
+    mixed = mix_documents(docs).groupBy(F.col("doc_id").alias(other)).agg(F.max("copies").cast("int").alias(copies))
+    mixed = written(mixed.filter(F.col(copies) > 0), "mixed")
+    taken = docs.join(mixed, docs["doc_id"].eqNullSafe(F.col(other)))
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)
