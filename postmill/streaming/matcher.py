@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,7 +20,12 @@ def _rows(rows: list[tuple]) -> pd.DataFrame:
 
 
 class DraftMatcher(StatefulProcessor):
-    """Pending drafts of one thread as map draft_id -> (created, text)."""
+    """Pending drafts of one thread as map draft_id -> (created, text).
+
+    A draft is open to replies for ``days`` and no longer, whether its timer has fired yet or
+    not: a reply that finds it too old reports it as abandoned at its deadline, as the timer would
+    have done. So the result does not depend on where a stream is cut into batches.
+    """
 
     def __init__(self, days: int):
         self.days = days
@@ -28,32 +34,45 @@ class DraftMatcher(StatefulProcessor):
         self.handle = handle
         self.pending = handle.getMapState("pending", "draft_id string", "created_us long, draft_text string")
 
+    def deadline(self, us: int) -> int:
+        """In milliseconds, as timers count."""
+        return us // 1000 + self.days * DAY_MS
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows), ignore_index=True)
         events["us"] = events["event_ts"].astype("datetime64[us]").astype("int64")
         events["is_reply"] = events["draft_id"].isna()
+        # Newest first, the lowest id first among equals; read from the state once for all events.
+        held = [(-us, draft_id, text) for (draft_id,), (us, text) in self.pending.iterator()]
+        heapq.heapify(held)
         out = []
         # In time order; a draft made at the instant of a reply counts as made before it.
-        for e in events.sort_values(["us", "is_reply", "draft_id", "message_id"]).itertuples():
-            if not e.is_reply:
-                self.pending.updateValue((e.draft_id,), (int(e.us), e.draft_text))
-                self.handle.registerTimer(int(e.us) // 1000 + self.days * DAY_MS)
-                continue
-            drafts = [(-us, draft_id, text) for (draft_id,), (us, text) in self.pending.iterator()]
-            if drafts:
-                _, draft_id, text = min(drafts)
-                self.pending.removeKey((draft_id,))
-                out.append((key[0], draft_id, e.message_id, text, e.final_sent, "RECONCILED", e.us))
+        order = events.sort_values(["us", "is_reply", "draft_id", "message_id"])
+        for us, is_reply, draft_id, message_id, draft_text, final_sent in zip(
+            *[order[c].tolist() for c in ("us", "is_reply", "draft_id", "message_id", "draft_text", "final_sent")], strict=True
+        ):
+            if not is_reply:
+                self.pending.updateValue((draft_id,), (us, draft_text))
+                self.handle.registerTimer(self.deadline(us))
+                heapq.heappush(held, (-us, draft_id, draft_text))
+            elif held and -held[0][0] + self.days * DAY_MS * 1000 < us:
+                # the newest is too old, and so are all
+                out += [self.abandoned(key, d, -made, text) for made, d, text in held]
+                held = []
+            elif held:
+                _, d, text = heapq.heappop(held)
+                self.pending.removeKey((d,))
+                out.append((key[0], d, message_id, text, final_sent, "RECONCILED", us))
         yield _rows(out)
 
+    def abandoned(self, key, draft_id: str, us: int, text: str) -> tuple:
+        self.pending.removeKey((draft_id,))
+        return key[0], draft_id, None, text, None, "ABANDONED", self.deadline(us) * 1000
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         limit = expiredTimerInfo.getExpiryTimeInMs()
-        out = []
-        for (draft_id,), (us, text) in list(self.pending.iterator()):
-            if us // 1000 + self.days * DAY_MS <= limit:
-                self.pending.removeKey((draft_id,))
-                out.append((key[0], draft_id, None, text, None, "ABANDONED", limit * 1000))
-        yield _rows(out)
+        held = [(draft_id, us, text) for (draft_id,), (us, text) in self.pending.iterator()]
+        yield _rows([self.abandoned(key, d, us, text) for d, us, text in held if self.deadline(us) <= limit])
 
     def close(self) -> None:
         pass

@@ -143,27 +143,29 @@ def stream_reconcile(events: DataFrame, delay: str = "1 hour", days: int = 14) -
     )
 
 
-def staging_sink(log_path: str) -> Callable[[DataFrame, int], None]:
+def staging_sink(log_path: str, rejects_path: str | None = None) -> Callable[[DataFrame, int], None]:
     """Micro-batch handler: staged JSON lines into the draft log at ``log_path``, by day of creation.
 
-    A batch that is replayed after a failure adds nothing: known draft ids are left out. A
-    repeated row has its day too, so only the days of the batch are read from the log.
+    A draft id is added once, whatever day its repetitions carry: ids that the log holds are
+    looked up by a join on the batch's ids, which reads the log's id column only. A batch
+    replayed after a failure adds nothing. Lines that cannot be used are written to
+    ``rejects_path`` (by default beside the log) as (line, reason), by batch; a replay replaces them.
     """
+    rejects_path = rejects_path or f"{log_path.rstrip('/')}_rejected"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows, _ = parse_staging(batch)
-        fresh, _, _ = flush_staging(rows)
-        fresh = fresh.withColumn("created_day", F.to_date("created_at"))
-        span = fresh.agg(F.min("created_day").alias("first"), F.max("created_day").alias("last")).first()
-        if span["first"] is None:
-            return
-        known = fresh.limit(0)
+        rows, broken = parse_staging(batch)
+        fresh, without_id, _ = flush_staging(rows)
+        fresh = fresh.dropDuplicates(["draft_id"]).withColumn("created_day", F.to_date("created_at"))
         if _exists(spark, log_path):
-            known = spark.read.schema(fresh.schema).parquet(log_path).filter(
-                F.col("created_day").between(span["first"], span["last"])
-            )
-        unseen(fresh, known).write.mode("append").partitionBy("created_day").parquet(log_path)
+            ids = fresh.select("draft_id").distinct()
+            known = spark.read.schema(fresh.schema).parquet(log_path).select("draft_id").join(ids, "draft_id", "left_semi").distinct()
+            fresh = unseen(fresh, known)
+        fresh.write.mode("append").partitionBy("created_day").parquet(log_path)
+        unusable = without_id.select(F.to_json(F.struct(*[c for c in without_id.columns if c != "reason"])).alias("line"), "reason")
+        rejects = broken.select(F.col("value").alias("line"), F.lit("not a JSON object").alias("reason")).unionByName(unusable)
+        rejects.write.mode("overwrite").parquet(f"{rejects_path.rstrip('/')}/batch={batch_id}")
 
     return handle
 

@@ -73,6 +73,27 @@ def test_exact_match_over_several_runs(spark, tmp_path, rocksdb):
     assert ("lone", "ABANDONED", None, None) in run()
 
 
+@pytest.mark.parametrize("cuts", [(), (1,), (2,), (3,), (1, 2, 3, 4, 5, 6)])
+def test_match_does_not_depend_on_batches(spark, tmp_path, rocksdb, cuts):
+    """A reply after the deadline abandons the drafts, wherever the events are cut into batches."""
+    day = timedelta(days=1)
+    events = [
+        ("d", "a", "t", T0), ("d", "b", "t", T0 + day), ("s", "m1", "t", T0 + 2 * day), ("s", "late", "t", T0 + 20 * day),
+        ("d", "c", "t", T0 + 21 * day), ("s", "m2", "t", T0 + 35 * day), ("d", "end", "z", T0 + 60 * day),
+    ]
+    drafts, sent = Feed(spark, tmp_path / "d", DRAFT), Feed(spark, tmp_path / "s", SENT)
+    drafts.add(("none", "", T0, "x"))
+    sent.add(("", "none", "x", T0))
+    for start, end in zip((0, *cuts), (*cuts, len(events)), strict=True):
+        if made := [(i, t, when, "x") for kind, i, t, when in events[start:end] if kind == "d"]:
+            drafts.add(*made)
+        if replies := [(t, i, "x", when) for kind, i, t, when in events[start:end] if kind == "s"]:
+            sent.add(*replies)
+        rows = out(spark, tmp_path, S.stream_reconcile(S.match_events(drafts.stream(), sent.stream())))
+    got = sorted((r["draft_id"], r["status"], r["message_id"], r["event_ts"]) for r in rows)
+    assert got == [("a", "ABANDONED", None, T0 + 14 * day), ("b", "RECONCILED", "m1", T0 + 2 * day), ("c", "RECONCILED", "m2", T0 + 35 * day)]
+
+
 def test_simple_match_gives_unanswered_drafts(spark, tmp_path):
     drafts, sent = Feed(spark, tmp_path / "d", DRAFT), Feed(spark, tmp_path / "s", SENT)
     drafts.add(("a", "t", T0, "x"), ("b", "u", T0, "x"))
@@ -102,6 +123,20 @@ def test_staging_is_idempotent(spark, tmp_path):
     assert run("lost-progress") == ["a", "b", "c"]
 
 
+def test_staged_ids_are_unique_over_days_and_rejects_are_kept(spark, tmp_path):
+    def line(i, when):
+        return json.dumps({"draft_id": i, "created_at": when})
+
+    (tmp_path / "in").mkdir()
+    log = f"{tmp_path}/log"
+    for k, lines in enumerate([[line("a", "2024-01-01T10:00:00Z"), "{bad"], [line("a", "2024-01-05T10:00:00Z"), line(None, "2024-01-05T10:00:00Z"), line("b", "?")]]):
+        (tmp_path / "in" / str(k)).write_text("\n".join(lines))
+        S.run_batches(spark.readStream.text(f"{tmp_path}/in"), S.staging_sink(log), f"{tmp_path}/p")
+    assert [r["draft_id"] for r in spark.read.parquet(log).collect()] == ["a"]
+    rejects = spark.read.parquet(f"{log}_rejected").collect()
+    assert sorted((r["batch"], r["reason"]) for r in rejects) == [(0, "not a JSON object"), (1, "created_at unreadable"), (1, "draft_id missing")]
+
+
 def test_kb_refresh_adds_only_new(spark, tmp_path):
     def doc(answer):
         return f"### Function 1: T\n**Approved Language:**\n> {answer}\n"
