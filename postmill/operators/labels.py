@@ -13,6 +13,7 @@ from ..functions.tags import (
     AI_PROCESSED, B2B, CHARGEBACKS, CLASSIFICATION, DRAFTABLE, ESCALATION_NEEDED, REVIEW_DRAFT, tag_array,
 )
 from ..functions.text import contains_any, text_or_empty
+from ..session import spread_join
 from ..sources.scans import since_day
 
 LABELS = "labels"
@@ -101,7 +102,7 @@ def preflight(queue: DataFrame, thread_messages: DataFrame) -> DataFrame:
     machine = contains_any(sender, W.MACHINE_SENDERS + W.B2B_DOMAINS + W.B2B_ADDRESSES)
     has_prior = F.coalesce(F.col("_first") < F.struct("received_at", "message_id"), F.lit(False))
     return (
-        queue.join(first_in_thread(thread_messages), "thread_id", "left")
+        spread_join(queue, first_in_thread(thread_messages), "thread_id")
         .withColumn("_sender", F.lower(text_or_empty(F.col("sender"))))
         .withColumn(
             "outcome",
@@ -158,7 +159,7 @@ def cleanup(messages: DataFrame, agent: str, thread_messages: DataFrame | None =
     )
     marked = messages.filter(has_label(REVIEW_DRAFT))
     return (
-        marked.join(answered, "thread_id", "left")
+        spread_join(marked, answered, "thread_id")
         .withColumn(
             "cleanup", F.when(F.col("_answered"), "replied").when(~F.col("is_unread"), "read").otherwise("pending")
         )
@@ -172,9 +173,10 @@ def cleanup(messages: DataFrame, agent: str, thread_messages: DataFrame | None =
 
 
 def threads_with_agent(thread_messages: DataFrame, agent: str) -> DataFrame:
-    """Messages of threads in which the agent has written, by semi-join."""
-    answered = thread_messages.filter(F.lower(F.col("sender")).contains(agent.lower())).select("thread_id").distinct()
-    return thread_messages.join(answered, "thread_id", "left_semi")
+    """Messages of threads in which the agent has written, by semi-join; a blank thread id is no thread."""
+    known = thread_messages.filter(F.col("thread_id") != "")
+    answered = known.filter(F.lower(F.col("sender")).contains(agent.lower())).select("thread_id").distinct()
+    return spread_join(known, answered, "thread_id", "left_semi")
 
 
 def attended_by_last_sender(thread_messages: DataFrame, agent: str) -> DataFrame:

@@ -7,7 +7,8 @@ sub-rules and the order-status questions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import rule_words as W
 from ..functions.tags import B2B, CLASSIFICATION
@@ -226,29 +227,24 @@ def default_rule_rows() -> list[tuple]:
     return rows
 
 
-MAX_RULES = 10_000
+RULES_AT_A_TIME = 2_000
 
 
 def classify_with_rules(messages: DataFrame, rules: DataFrame, scan: str = "content") -> DataFrame:
     """The cascade with rules as data: the matching rule of lowest priority sets rule_id and tag.
 
-    The rules become one ordered array through a scalar subquery and every message walks
-    along it, so messages are neither shuffled nor multiplied. The table is configuration;
-    a table over ``MAX_RULES`` fails rather than being shipped to every task.
+    The rules are taken in blocks of bounded size, in their order. A block becomes one array through a
+    scalar subquery and every message that no earlier block has matched walks along it, so messages are
+    neither shuffled nor multiplied, however many rules there are.
     """
     f = _Fields(scan, None)
-    table = rules.agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct(
-                    "priority", "rule_id", "tag", "field", "op", "pattern", "guard_field", "guard_op", "guard_pattern"
-                )
-            )
-        ).alias("rules"),
-    ).select(
-        F.when(F.size("rules") > MAX_RULES, F.raise_error(F.lit(f"over {MAX_RULES} rules")).cast("void"))
-        .otherwise(F.col("rules")).alias("rules")
-    ).scalar()
+    columns = ("priority", "rule_id", "tag", "field", "op", "pattern", "guard_field", "guard_op", "guard_pattern")
+    numbered = rules.select(*columns).withColumn("_at", F.row_number().over(Window.orderBy(*columns)) - 1)
+    blocks = [
+        numbered.filter(F.col("_at").between(start, start + RULES_AT_A_TIME - 1))
+        .agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("rules")).scalar()
+        for start in range(0, max(1, rules.count()), RULES_AT_A_TIME)
+    ]
 
     def text(field: Column) -> Column:
         return (
@@ -273,10 +269,12 @@ def classify_with_rules(messages: DataFrame, rules: DataFrame, scan: str = "cont
         )
         return guard & test(rule["field"], rule["op"], rule["pattern"])
 
-    hit = F.try_element_at(F.filter("_rules", matches), F.lit(1))
+    found = f.add(messages).withColumn("_hit", F.lit(None).cast(StructType([rules.schema[c] for c in columns])))
+    for block in blocks:
+        hit = F.try_element_at(F.filter("_rules", matches), F.lit(1))
+        found = found.withColumn("_rules", block).withColumn("_hit", F.coalesce("_hit", hit))
     return (
-        f.add(messages).withColumn("_rules", table)
-        .withColumn("_hit", hit)
+        found
         .withColumn("rule_id", F.coalesce(F.col("_hit.rule_id"), F.lit("R4")))
         .withColumn("tag", F.col("_hit.tag"))
         .drop(*FIELD_COLUMNS, "_rules", "_hit")

@@ -1,7 +1,7 @@
 """Per-thread context: last messages, contact numbers, earlier commitments.
 
 A thread may hold a large share of all messages. Last-n ranks are limited on the map
-side, "was there one before" is a minimum joined back, and running numbers are counted
+side, "was there one before" is a minimum written and joined back, and running numbers are counted
 per time slot, with the slots' offsets added.
 """
 
@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import spread_join
+
 ORDER = ("received_at", "message_id")
 
 
@@ -67,7 +69,7 @@ def prior_commitment(messages: DataFrame, commits: Column) -> DataFrame:
         .agg(F.min(F.struct(*ORDER)).alias("_first"))
     )
     return (
-        messages.join(first, "thread_id", "left")
+        spread_join(messages, first, "thread_id")
         .withColumn("prior_commitment", F.coalesce(F.col("_first") < F.struct(*ORDER), F.lit(False)))
         .drop("_first")
     )
@@ -76,5 +78,5 @@ def prior_commitment(messages: DataFrame, commits: Column) -> DataFrame:
 def without_prior(queue: DataFrame, messages: DataFrame) -> DataFrame:
     """Messages that open their thread: nothing in ``messages`` precedes them."""
     first = in_thread(messages).groupBy("thread_id").agg(F.min(F.struct(*ORDER)).alias("_first"))
-    later = queue.join(first, "thread_id").filter(F.col("_first") < F.struct(*ORDER)).select("message_id")
+    later = spread_join(queue, first, "thread_id", "inner").filter(F.col("_first") < F.struct(*ORDER)).select("message_id")
     return queue.join(later, "message_id", "left_anti")

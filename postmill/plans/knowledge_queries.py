@@ -193,7 +193,7 @@ HYBRID_SQL = with_tables(
 @query(HYBRID_SQL)
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     kb = V.entries(spark, d)
-    return Q.hybrid_topk(V.as_queries(kb), kb, exclude_self=True)
+    return Q.hybrid_topk(V.as_queries(kb), kb, exclude_self=True).drop("best_cosine")
 
 
 @query(with_tables("""
@@ -226,7 +226,7 @@ def rescue(asked: str) -> dict[str, str]:
                    f"(SELECT category, kb_id, unnest({WORDS}) AS related FROM entries) "
                    "WHERE related IN (SELECT related FROM edges) GROUP BY 1, 2, 3",
         "found": f"SELECT query_id, kb_id, max(mentions) AS mentions FROM {asked} JOIN edges USING (concept) "
-                 "JOIN holders USING (category, related) GROUP BY 1, 2",
+                 "JOIN holders USING (category, related) WHERE query_id <> kb_id GROUP BY 1, 2",
         "rescued": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY mentions DESC, kb_id) AS rank FROM found",
     }
 
@@ -237,18 +237,27 @@ def graph_rescue(spark: SparkSession, d: str) -> DataFrame:
     asked = V.as_queries(kb)
     pairs = spark.createDataFrame(V.GRAPH_PAIRS, "concept_a string, concept_b string, relationship_type string, notes string")
     nearest = Q.cosine_topk(asked, kb, 1, exclude_self=True)
-    return Q.graph_rescue(asked, kb, nearest, pairs, 0.3).select("query_id", "kb_id", "mentions", "rank")
+    return Q.graph_rescue(asked, kb, nearest, pairs, 0.3, exclude_self=True).select("query_id", "kb_id", "mentions", "rank")
 
 
 @query(with_tables("""
-    SELECT query_id, kb_id, CAST(rank AS INTEGER) AS rank, 'graph' AS via FROM rescued WHERE rank <= 3
-    UNION ALL SELECT query_id, kb_id, CAST(rank AS INTEGER), 'hybrid' FROM ranked
-    WHERE rank <= 3 AND query_id NOT IN (SELECT query_id FROM rescued)""",
+    SELECT query_id, kb_id, CAST(NULL AS VARCHAR) AS filename, CAST(rank AS INTEGER) AS rank, 'graph' AS via FROM rescued WHERE rank <= 3
+    UNION ALL SELECT query_id, kb_id, NULL, CAST(rank AS INTEGER), 'hybrid' FROM ranked
+    WHERE rank <= 3 AND query_id NOT IN (SELECT query_id FROM rescued)
+    UNION ALL SELECT query_id, NULL, CASE WHEN query_id % 2 = 0 THEN 'CANONICAL_skill_order-shipping-us.md' END, 1,
+        CASE WHEN query_id % 2 = 0 THEN 'mapping' ELSE 'none' END
+    FROM (SELECT kb_id AS query_id FROM entries UNION ALL SELECT -1 UNION ALL SELECT -2)
+    WHERE query_id NOT IN (SELECT query_id FROM rescued) AND query_id NOT IN (SELECT query_id FROM ranked)""",
     "entries", extra={**HYBRID, **rescue("mentioned")}))
 def retrieve(spark: SparkSession, d: str) -> DataFrame:
+    """All entries as queries, and two of a category without entries; even ids have a file."""
     kb = V.entries(spark, d)
     pairs = spark.createDataFrame(V.GRAPH_PAIRS, "concept_a string, concept_b string, relationship_type string, notes string")
-    return Q.retrieve(V.as_queries(kb), kb, graph=pairs, min_score=0.3, exclude_self=True)
+    lost = spark.createDataFrame([(-1, -1, "", None), (-2, -1, None, None)], V.as_queries(kb).schema)
+    asked = V.as_queries(kb).unionByName(lost)
+    tagged = asked.select("query_id", V.pick(F.abs("query_id"), ("US_WISMO", "GENERAL_PRODUCT")).alias("tag"))
+    mapping = tagged.join(kb_mapping(spark), "tag").select("query_id", "filename")
+    return Q.retrieve(asked, kb, graph=pairs, min_score=0.3, exclude_self=True, mapping=mapping)
 
 
 @query(with_tables("""

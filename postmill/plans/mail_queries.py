@@ -250,9 +250,11 @@ def cleanup(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_tables(f"""
     SELECT message_id FROM messages
-    WHERE thread_id IN (SELECT thread_id FROM messages WHERE contains(sender, '{V.AGENT}'))""", "messages"))
+    WHERE conv_id % 9 <> 0 AND thread_id IN (SELECT thread_id FROM messages WHERE contains(sender, '{V.AGENT}'))""", "messages"))
 def threads_with_agent(spark: SparkSession, d: str) -> DataFrame:
-    return L.threads_with_agent(V.messages(spark, d), V.AGENT).select("message_id")
+    """Some conversations carry a blank thread id, which is no thread."""
+    mail = V.messages(spark, d).withColumn("thread_id", F.when(F.col("conv_id") % 9 == 0, "").otherwise(F.col("thread_id")))
+    return L.threads_with_agent(mail, V.AGENT).select("message_id")
 
 
 @query(with_tables(f"""
@@ -460,9 +462,10 @@ FILES = f"""
         CASE WHEN inf AND model = 17 THEN 'CANONICAL_skill_product-support-influence-iphone17.md'
              WHEN inf AND model = 16 THEN 'CANONICAL_skill_product-support-influence-iphone16.md'
              WHEN inf AND model BETWEEN 12 AND 15 THEN 'CANONICAL_skill_product-support-influence-iphone12-15.md'
-             WHEN NOT inf AND model BETWEEN 11 AND 16 THEN 'CANONICAL_skill_product-support-waterproof-iphone.md' END END)
+             WHEN NOT inf AND proof AND model BETWEEN 11 AND 16 THEN 'CANONICAL_skill_product-support-waterproof-iphone.md' END END)
         AS filename
     FROM (SELECT message_id, {pick('doc_id', _TAGS)} AS tag, contains(lower(coalesce(body, '')), 'influence') AS inf,
+            contains(lower(coalesce(body, '')), 'waterproof') AS proof,
             TRY_CAST(nullif(regexp_extract(lower(coalesce(body, '')), 'iphone\\s*([0-9][0-9])', 1), '') AS INT) AS model
           FROM inbox) LEFT JOIN mapped USING (tag)"""
 FILE_TABLES = {"mapped": _MAPPED, "files": FILES}

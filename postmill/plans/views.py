@@ -49,7 +49,7 @@ INBOX_CASES = (
     ("x@y.example", "hello", "join our webinar "),
     ("x@y.example", "my claim", "thanks\n> see invoice\nbye "),
     ("x@y.example", "my claim", "see invoice "),
-    ("Jane Roe <jane@y.example>", "question", "Where is my order Ms123? "),
+    ("Jane Roe <jane@y.example>", "question", "Where is my order Ms123? My leather case for iPhone 14 is loose. "),
     ("John <john@y.example>", "question", "Where is my order #12? "),
     ("x@y.example", "question", "Where is my order? "),
     ("x@y.example", "question", "Does the Influence case fit iPhone 16? URGENT!! "),

@@ -52,3 +52,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_join(rows: DataFrame, per_key: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """``rows`` joined to ``per_key``, which has one row for each key, where one key may hold most rows.
+
+    The small side is written first. Both sides then come straight from a scan, so that it is broadcast if its
+    true size allows, and otherwise adaptive execution can split a large key; above an aggregate it could not.
+    """
+    return rows.join(written(per_key, "per-key"), key, how)

@@ -274,6 +274,37 @@ def test_graph_rescue_and_fallback(spark):
     assert ("graph", 10) in {(r["via"], r["query_id"]) for r in whole}
 
 
+def test_the_query_itself_is_no_rescue(spark):
+    kb = spark.createDataFrame([(1, "c", "airpods charging charging", [0.0, 1.0]), (2, "c", "charging", [0.0, -1.0]), (3, "c", "x", [0.0, -1.0])],
+                               "kb_id long, category string, text string, vector array<double>")
+    asked = kb.filter("kb_id = 1").withColumnRenamed("kb_id", "query_id")
+    pairs = spark.createDataFrame([("AirPods", "charging", "related", None)], "concept_a string, concept_b string, relationship_type string, notes string")
+    got = Q.retrieve(asked, kb, 1, pairs, 0.9, exclude_self=True).collect()
+    assert [(r["kb_id"], r["via"]) for r in got] == [(2, "graph")]
+
+
+def test_retrieval_answers_every_query(spark):
+    """Hybrid, mapping or none; an entry without a vector is found by keyword."""
+    schema = "kb_id long, category string, text string, vector array<double>"
+    kb = spark.createDataFrame([(1, "c", "alpha beta", [1.0, 0.0]), (2, "c", "gamma gamma", None)], schema)
+    asked = spark.createDataFrame([(10, "c", "gamma", [1.0, 0.0]), (11, "c", "gamma", None), (12, "lost", "x", None), (13, "lost", "x", None)],
+                                  schema.replace("kb_id", "query_id"))
+    files = spark.createDataFrame([(12, "a.md"), (10, "b.md")], "query_id long, filename string")
+    got = {(r["query_id"], r["kb_id"], r["filename"], r["rank"], r["via"]) for r in Q.retrieve(asked, kb, 2, mapping=files).collect()}
+    assert got == {(10, 1, None, 1, "hybrid"), (10, 2, None, 2, "hybrid"), (11, 2, None, 1, "hybrid"), (12, None, "a.md", 1, "mapping"), (13, None, None, 1, "none")}
+
+
+def test_more_rules_than_one_block(spark, monkeypatch):
+    from postmill.operators import rules as R
+
+    monkeypatch.setattr(R, "RULES_AT_A_TIME", 3)
+    columns = "priority int, rule_id string, tag string, field string, op string, pattern string, guard_field string, guard_op string, guard_pattern string"
+    table = spark.createDataFrame([(k, f"r{k}", f"t{k}", "body", "contains", f"word{k};", None, None, None) for k in range(11)], columns)
+    mail = spark.createDataFrame([(f"m{k}", "a", "s", f"word{k}; word10;", None) for k in range(12)], "message_id string, sender string, subject string, body string, received_at timestamp")
+    got = {r["message_id"]: r["rule_id"] for r in R.classify_with_rules(mail, table).collect()}
+    assert got == {f"m{k}": f"r{min(k, 10)}" for k in range(12)}
+
+
 def test_hashed_embedding_is_unit_counts(spark):
     df = spark.createDataFrame([("a A b",), ("",)], "text string")
     got = [r["embedding"] for r in B.hashed_tf(df, "text", dims=64).collect()]
