@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import cluster as K, kb as B, retrieve as Q
 from ..functions.text import terms
 from ..operators.drafts import kb_mapping
+from ..session import work_path, written
+from ..sources.files import append_kb, write_context
 from . import views as V
 from .catalog import query
 from .oracle import text, with_tables
@@ -131,6 +133,15 @@ def kb_build(spark: SparkSession, d: str) -> DataFrame:
         "content_hash", "category", F.size("embedding").alias("dims"))
 
 
+@query(BUILT)
+def kb_append(spark: SparkSession, d: str) -> DataFrame:
+    """Built from half of the files, appended, and built on with all of them: only new entries are appended."""
+    path, files = work_path(spark, "kb"), skill_files(spark, d)
+    append_kb(B.build_kb(files.filter(F.col("doc_id") % 2 == 0), None, V.MAIL_NOW), path)
+    append_kb(written(B.build_kb(files, spark.read.parquet(path), V.MAIL_NOW), "more"), path)
+    return spark.read.parquet(path).select("content_hash", "category", F.size("embedding").alias("dims"))
+
+
 @query("""
     SELECT vec_id AS kb_id, 64 AS dims FROM embeddings""")
 def vectors_of_model(spark: SparkSession, d: str) -> DataFrame:
@@ -284,6 +295,17 @@ def retrieval_context(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("query_id", F.array_join(F.col("matches.kb_id").cast("array<string>"), ",").alias("matches"))
 
 
+@query(with_tables("""
+    SELECT query_id, kb_id, CAST(rank AS BIGINT) AS rank FROM nearest WHERE rank <= 3""", "entries", extra=COS))
+def context_files(spark: SparkSession, d: str) -> DataFrame:
+    """The retrieval context written as JSON and read back."""
+    kb = V.entries(spark, d)
+    path = work_path(spark, "context")
+    write_context(Q.context_rows(Q.cosine_topk(V.as_queries(kb), kb, exclude_self=True)), path)
+    rows = spark.read.schema("query_id long, matches array<struct<rank: long, kb_id: long>>").json(path)
+    return rows.select("query_id", F.inline("matches")).select("query_id", "kb_id", "rank")
+
+
 @query("""
     SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity,
            list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.1 AS semantic_match

@@ -77,7 +77,8 @@ TABLES: dict[str, str] = {
                nullif({pick('o_orderkey', V.CATEGORIES)}, 'GENERAL_COMPATIBILITY') AS email_category,
                CASE o_orderstatus WHEN 'O' THEN 'PENDING' WHEN 'F' THEN 'RECONCILED' ELSE 'ABANDONED' END AS status,
                CAST(o_orderdate AS TIMESTAMP) AS created_at,
-               (['POSITIVE','NEUTRAL','FRUSTRATED','ANGRY','URGENT'])[CAST(left(o_orderpriority, 1) AS INT)] AS sentiment
+               (['POSITIVE','NEUTRAL','FRUSTRATED','ANGRY','URGENT'])[CAST(left(o_orderpriority, 1) AS INT)] AS sentiment,
+               {pick('o_custkey', V.INTENTS)} AS primary_intent, {pick('o_custkey', V.RISKS)} AS escalation_risk
         FROM orders""",
     "accuracy_raw": """
         SELECT 'D' || l_orderkey AS draft_id, CAST(l_shipdate AS TIMESTAMP) AS reconciled_at,

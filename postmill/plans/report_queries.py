@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.scoring import score
 from ..operators import dashboard as D, graduate as G, reconcile as C
 from ..schemas import SENTIMENTS
-from ..session import written
+from ..session import work_path, written
+from ..sources.files import write_report
 from . import views as V
 from .catalog import query
 from .oracle import one_byte, with_tables
@@ -195,6 +196,24 @@ def sentiment_distribution(spark: SparkSession, d: str) -> DataFrame:
     return D.intent_distribution(V.draft_log(spark, d), "sentiment", SENTIMENTS)
 
 
+def _distribution(column: str, values) -> str:
+    counts = ", ".join(f"count(*) FILTER ({column} = '{v}') AS {v.lower()}" for v in values)
+    return with_tables(f"SELECT email_category, count(*) AS total, {counts} FROM draft_log GROUP BY 1", "draft_log")
+
+
+KNOWN_INTENTS, KNOWN_RISKS = [i for i in V.INTENTS if i], ("LOW", "MEDIUM", "HIGH")
+
+
+@query(_distribution("primary_intent", KNOWN_INTENTS))
+def intent_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return D.intent_distribution(V.draft_log(spark, d), "primary_intent", KNOWN_INTENTS)
+
+
+@query(_distribution("escalation_risk", KNOWN_RISKS))
+def escalation_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return D.intent_distribution(V.draft_log(spark, d), "escalation_risk", KNOWN_RISKS)
+
+
 @query(with_tables("""
     SELECT left(coalesce(email_category, 'UNKNOWN'), 40) AS category, total, pct_clean,
            coalesce(pct_clean, 0) >= 24.5 AND total >= 100 AS starred
@@ -268,6 +287,15 @@ def weekly_report(spark: SparkSession, d: str) -> DataFrame:
         D.graduation_candidates(accuracy, log, min_pct=25.0), TREND_NOW, min_pct=25.0)
 
 
+@query(with_tables(f"SELECT line FROM ({REPORT})", "accuracy_log", "draft_log", extra={
+    "by_category": BY_CATEGORY, "daily": DAILY, "graduates": GRADUATES % (100, 25.0)}))
+def report_files(spark: SparkSession, d: str) -> DataFrame:
+    """The report written as a dated and a latest page, and the latest read back."""
+    path = work_path(spark, "reports")
+    write_report(weekly_report(spark, d), path, TREND_NOW[:10])
+    return spark.read.text(f"{path}/latest").withColumnRenamed("value", "line")
+
+
 AUTONOMY = f"""
     SELECT d.draft_id, d.email_category, d.status = 'ABANDONED' OR sentiment = 'ANGRY' AS edge_case,
         CASE WHEN d.status = 'ABANDONED' OR sentiment = 'ANGRY' THEN 'REVIEW' WHEN g.email_category IS NOT NULL THEN 'AUTO'

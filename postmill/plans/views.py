@@ -9,9 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..sources.files import spread
-
-TEXT_TABLES = ("documents", "conversations")
 EPOCH = 1_704_067_200  # 2024-01-01 00:00:00 UTC
 MAIL_NOW = "2024-01-31 00:00:00"
 SHOP_NOW = "2001-08-03 00:00:00"
@@ -67,6 +64,8 @@ DRAFT_LEADS = (
     "Certainly, rest assured. ", "I checked and we can see — it ships. ", "Not only fast but also kind. ",
     "Furthermore, the landscape is robust. ", "Hello. ",
 )
+INTENTS = ("replacement", "tracking_update", "refund", "compatibility", None)
+RISKS = ("LOW", "LOW", "MEDIUM", "HIGH")
 GRAPH_PAIRS = (
     ("the", "paragraph", "related", None), ("la", "der", "related", None), ("charging", "case", "related", None),
     ("of", "que", "related", None),
@@ -74,8 +73,7 @@ GRAPH_PAIRS = (
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    table = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(table) if name in TEXT_TABLES else table
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -168,6 +166,7 @@ def draft_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").cast("timestamp").alias("created_at"),
         F.element_at(F.array(*[F.lit(s) for s in ("POSITIVE", "NEUTRAL", "FRUSTRATED", "ANGRY", "URGENT")]),
                      F.left("o_orderpriority", F.lit(1)).cast("int")).alias("sentiment"),
+        pick(F.col("o_custkey"), INTENTS).alias("primary_intent"), pick(F.col("o_custkey"), RISKS).alias("escalation_risk"),
     )
 
 

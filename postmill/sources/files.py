@@ -4,28 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-SMALL_BYTES = 128 * 1024 * 1024
-
-
-def spread(df: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
-    """Deal a small input out to all cores.
-
-    A file of one row group is read by one task, however many cores stand by, and text work
-    is then done by that one. Input whose size is known to be below ``limit``, about one
-    split, is repartitioned; anything larger arrives in enough splits and stays as it is.
-    """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < limit else df
-
-
 KB_GLOB = "CANONICAL_skill_*.md"
 
 
-def read_kb(spark: SparkSession, path: str) -> DataFrame:
-    """(filename, text) of every skill file, whole."""
-    return spark.read.text(path, wholetext=True, pathGlobFilter=KB_GLOB).select(
+def read_kb(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
+    """(filename, text) of every skill file, whole; ``ordered`` sorts by name, as a page over all files needs it."""
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=KB_GLOB).select(
         F.col("_metadata.file_name").alias("filename"), F.col("value").alias("text")
     )
+    return files.orderBy("filename") if ordered else files
 
 
 def write_report(report: DataFrame, path: str, date: str) -> None:

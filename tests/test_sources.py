@@ -92,12 +92,7 @@ def test_kb_files_and_context(spark, tmp_path):
     (tmp_path / "CANONICAL_skill_a-us.md").write_text("one\ntwo")
     (tmp_path / "notes.md").write_text("no")
     assert [tuple(r) for r in files.read_kb(spark, str(tmp_path)).collect()] == [("CANONICAL_skill_a-us.md", "one\ntwo")]
+    (tmp_path / "CANONICAL_skill_0.md").write_text("x")
+    assert [r["filename"] for r in files.read_kb(spark, str(tmp_path), ordered=True).collect()] == ["CANONICAL_skill_0.md", "CANONICAL_skill_a-us.md"]
     files.write_context(spark.createDataFrame([("q", [1])], "query_id string, matches array<int>"), f"{tmp_path}/out")
     assert spark.read.json(f"{tmp_path}/out").first()["query_id"] == "q"
-
-
-def test_spread_only_touches_small_input(spark, tmp_path):
-    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/t")
-    table = spark.read.parquet(f"{tmp_path}/t")
-    assert files.spread(table).rdd.getNumPartitions() == 8
-    assert files.spread(table, limit=10) is table
