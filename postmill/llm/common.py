@@ -16,7 +16,7 @@ U64 = np.uint64
 #: Odd multipliers for hashing sequences of words; any fixed odd numbers would do.
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=U64)
 #: Rows one task ranks at a time.
-RANK_ROWS = 50_000
+RANK_ROWS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

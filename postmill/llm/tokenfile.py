@@ -62,12 +62,13 @@ class WordIds(dict):
             self.old = dict(self)
             self.clear()
         new = []
-        for word in set(words).difference(self):
-            found = self.old.get(word)
-            if found is None:
-                new.append(word)
-            else:
-                self[word] = found
+        for word in set(words):
+            if word not in self:
+                found = self.old.get(word)
+                if found is None:
+                    new.append(word)
+                else:
+                    self[word] = found
         for word, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
             self[word] = np.array(e.ids, dtype="<u4").tobytes()
 
