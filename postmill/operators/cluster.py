@@ -17,7 +17,7 @@ from pyspark.sql.types import StructField, StructType
 
 from ..functions.vectors import cosine
 from ..functions.text import explode_terms, terms, text_or_empty
-from ..session import written
+from ..session import spread_join, written
 from . import blocks
 
 BLOCK_ROWS = 2048
@@ -34,7 +34,6 @@ def _least_labels(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tupl
         left, right = l, r
 
 
-PIVOTS = 64
 # Scores are rounded; near 1 that moves an angle by up to the square root of twice the rounding.
 ANGLE_SLACK = 2 * math.sqrt(2 * 10.0**-blocks.DIGITS)
 
@@ -43,8 +42,8 @@ def similarity_links(kb: DataFrame, threshold: float, block_rows: int = BLOCK_RO
     """(kb_id, linked): links whose connected parts are those of the full similarity graph.
 
     Equal vectors are linked to the least id among them first, so copies, however many, take
-    part once. What is left of a category that fits one block is compared at once; larger
-    categories are cut into cells, and cells too far apart are not compared.
+    part once. What is left of a category is cut into cells, of which a category of one block
+    has one, and cells too far apart are not compared.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
@@ -80,45 +79,33 @@ def similarity_links(kb: DataFrame, threshold: float, block_rows: int = BLOCK_RO
     again = celled.toDF("kb_id", "category", "vector", "_other", "_other_block")
     right = again.join(units.toDF(*units.columns), ["category", "_other", "_other_block"])
     links = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(unit, schema)
-    if copied.isEmpty():
-        return links
-    copies = rows.join(copied, ["category", "vector"]).filter(F.col("kb_id") != F.col("linked"))
+    copies = rows.join(written(copied, "copied"), ["category", "vector"]).filter(F.col("kb_id") != F.col("linked"))
     return links.unionByName(copies.select("kb_id", "linked"))
 
 
 def _cells(heads: DataFrame, threshold: float, block_rows: int) -> tuple[DataFrame, DataFrame]:
     """Rows with ``_cell`` and ``_block``, and the pairs of blocks that have to be compared.
 
-    A cell holds the rows nearest to one of up to ``PIVOTS`` rows of the category. Angles obey
-    the triangle inequality: rows of two cells can only reach the threshold if their pivots
-    are no further apart than its angle and both cells' radii together. Categories of one
-    block stay one cell.
+    A cell holds the rows nearest to one of some rows of the category, its pivots, whose number
+    grows with the square root of the category's blocks. Angles obey the triangle inequality: rows of
+    two cells can only reach the threshold if their pivots are no further apart than its
+    angle and both cells' radii together. A cell over the block size has several blocks.
     """
-    sizes = written(
-        heads.groupBy("category").agg(F.count(F.lit(1)).alias("_n"), F.min("kb_id").alias("_cell")), "sizes"
-    )
-    zero = F.lit(0)
-    small = sizes.filter(F.col("_n") <= block_rows)
-    celled = heads.join(small.select("category", "_cell"), "category").select(
-        "kb_id", "category", "vector", "_cell", zero.alias("_block")
-    )
-    units = small.select(
-        "category", "_cell", zero.alias("_block"), F.col("_cell").alias("_other"), zero.alias("_other_block")
-    )
-    large = sizes.filter(F.col("_n") > block_rows).select("category")
-    if large.isEmpty():
-        return celled, units
+    n_pivots = F.ceil(8 * F.sqrt(F.ceil(F.count(F.lit(1)) / block_rows))) - 7
+    sizes = written(heads.groupBy("category").agg(n_pivots.cast("int").alias("_pivots")), "sizes")
     by_hash = Window.partitionBy("category").orderBy(F.xxhash64("kb_id"), "kb_id")
-    many = heads.join(large, "category", "left_semi")
+    most = sizes.agg(F.max("_pivots")).first()[0] or 1
     pivots = written(
-        many.withColumn("_n", F.row_number().over(by_hash)).filter(F.col("_n") <= PIVOTS).drop("_n"), "pivots"
+        # the constant bound lets Spark keep only the first ranks on the map side
+        heads.withColumn("_n", F.row_number().over(by_hash)).filter(F.col("_n") <= most)
+        .join(sizes, "category").filter(F.col("_n") <= F.col("_pivots")).drop("_n", "_pivots"), "pivots"
     )
     nearest = blocks.block_top_k(
-        many.withColumnRenamed("kb_id", "query_id"), pivots, blocks.cosine_matrix, 1, right_rows=PIVOTS
+        heads.withColumnRenamed("kb_id", "query_id"), pivots, blocks.cosine_matrix, 1, left_rows=block_rows, right_rows=block_rows
     )
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("score"))))
     placed = written(
-        many.join(nearest.select(F.col("query_id").alias("kb_id"), F.col("kb_id").alias("_cell"), angle.alias("_angle")), "kb_id")
+        heads.join(nearest.select(F.col("query_id").alias("kb_id"), F.col("kb_id").alias("_cell"), angle.alias("_angle")), "kb_id")
         .select("kb_id", "category", "vector", "_cell", "_angle"), "placed",
     )
     stats = written(
@@ -126,7 +113,7 @@ def _cells(heads: DataFrame, threshold: float, block_rows: int) -> tuple[DataFra
             F.max("_angle").alias("_radius"), F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_blocks")
         ).join(pivots.select(F.col("kb_id").alias("_cell"), "vector"), "_cell"), "cells",
     )
-    placed_blocks = placed.join(stats.select("category", "_cell", "_blocks"), ["category", "_cell"]).select(
+    celled = placed.join(stats.select("category", "_cell", "_blocks"), ["category", "_cell"]).select(
         "kb_id", "category", "vector", "_cell", F.pmod(F.xxhash64("kb_id"), F.col("_blocks")).cast("int").alias("_block")
     )
     other = stats.select(
@@ -135,21 +122,21 @@ def _cells(heads: DataFrame, threshold: float, block_rows: int) -> tuple[DataFra
     )
     apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(F.col("vector"), F.col("_other_vector")))))
     reach = math.acos(threshold) + F.col("_radius") + F.col("_other_radius") + 3 * ANGLE_SLACK
-    compared = (
+    units = (
         stats.join(other, "category").filter((F.col("_cell") <= F.col("_other")) & (apart <= reach))
         .withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         .withColumn("_other_block", F.explode(F.sequence(F.lit(0), F.col("_other_blocks") - 1)))
         .filter((F.col("_cell") < F.col("_other")) | (F.col("_block") <= F.col("_other_block")))
         .select("category", "_cell", "_block", "_other", "_other_block")
     )
-    return celled.unionByName(placed_blocks), units.unionByName(compared)
+    return celled, units
 
 
 def connected_components(links: DataFrame, a: str = "kb_id", b: str = "linked") -> DataFrame:
     """(node, component) with the least node as component, by alternating large and small stars.
 
     Each round joins every edge with the least neighbour of its end, an aggregate, so no
-    neighbour list is ever collected. Rounds grow with the logarithm of the size; each ends
+    neighbour list is ever collected, and a hub's edges are split over tasks. Rounds grow with the logarithm of the size; each ends
     in a table in the shared folder.
     """
     edges = written(
@@ -160,12 +147,11 @@ def connected_components(links: DataFrame, a: str = "kb_id", b: str = "linked")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (
-            both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .filter(F.col("u") != F.col("v")).distinct()
+        large = written(
+            spread_join(both, least, "u", "inner").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+            .filter(F.col("u") != F.col("v")).distinct(), "large",
         )
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(small_least, "u")
+        joined = spread_join(large, large.groupBy("u").agg(F.min("v").alias("m")), "u", "inner")
         edges = written(
             joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(joined.select("u", F.col("m").alias("v")))
@@ -209,7 +195,7 @@ def canonicalise(clustered: DataFrame, text_col: str = "text") -> DataFrame:
     profile = term_profile(clustered, text_col)
     used = F.size(F.filter(terms(text_or_empty(F.col(text_col))), lambda t: t == F.col("dominant")))
     return (
-        clustered.join(profile, "cluster")
+        spread_join(clustered, profile, "cluster", "inner")
         .withColumn("_uses", used)
         .groupBy("cluster")
         .agg(
