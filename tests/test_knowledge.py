@@ -217,9 +217,8 @@ def test_clusters_equal_brute_force_in_any_blocking(spark):
         assert got == want
 
 
-def test_cells_skip_far_pairs_and_lose_no_link(spark, monkeypatch):
-    """Six tight groups in one category, few pivots: distant cells are not compared, the clusters stay exact."""
-    monkeypatch.setattr(K, "PIVOTS", 8)
+def test_cells_skip_far_pairs_and_lose_no_link(spark):
+    """Six tight groups in one category of many blocks: distant cells are not compared, the clusters stay exact."""
     rng = np.random.default_rng(5)
     centres = np.eye(6) * 3
     rows = [(i, "c", "", [float(x) for x in centres[i % 6] + rng.normal(size=6) * 0.35]) for i in range(120)]
