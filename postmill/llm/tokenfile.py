@@ -42,10 +42,23 @@ CHUNK_BYTES = 4_000_000
 CACHED_WORDS = 400_000
 
 
+def byte_letters() -> list[str]:
+    """The letter that byte-level tokenizers write for each byte: itself if it is printable, else the next one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in own)}
+    return [chr(rest.get(b, b)) for b in range(256)]
+
+
+LETTERS = byte_letters()
+LATIN_END = chr(0x250)  # letters below are composed, and small ones of one letter
+
+
 class WordIds(dict):
     """The ids of white-space separated words, as bytes; holds two generations of at most ``CACHED_WORDS`` words.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids.
+    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids. It cuts a word
+    into runs of letters and of signs and makes letters small, so a run of Latin letters, with or without a
+    full stop or comma, goes straight to its byte-pair model; all other words take the whole way.
     """
 
     def __init__(self, path: str):
@@ -55,6 +68,20 @@ class WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.old: dict = {}
+        self.ends = {tail: self.whole([tail])[0] for tail in (".", ",")} | {"": b""}
+
+    def whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def letters(self, word: str) -> bytes | None:
+        """The ids of Latin letters and at most one sign after them; None for other words."""
+        core, tail = (word[:-1], word[-1]) if word[-1] in ".," else (word, "")
+        small = core.lower()
+        if not core.isalpha() or max(core) >= LATIN_END or max(small) >= LATIN_END:
+            return None
+        if not small.isascii():
+            small = "".join(LETTERS[b] for b in small.encode())
+        return np.array([t.id for t in self.tokenizer.model.tokenize(small)], dtype="<u4").tobytes() + self.ends[tail]
 
     def learn(self, words: list[bytes]) -> None:
         """Encode what is not known, many words at a time."""
@@ -65,12 +92,13 @@ class WordIds(dict):
         for word in set(words):
             if word not in self:
                 found = self.old.get(word)
+                if found is None:
+                    found = self.letters(word.decode())
                 if found is None:
                     new.append(word)
                 else:
                     self[word] = found
-        for word, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self[word] = np.array(e.ids, dtype="<u4").tobytes()
+        self.update(zip(new, self.whole([w.decode() for w in new]), strict=True))
 
     def encode(self, text: bytes) -> bytes:
         """All ids of a text, and the end id."""
