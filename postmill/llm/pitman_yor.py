@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import U64, remainder, remove, rows_of, table, work_path
 from .registry import query
 
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
 CELL_TOKENS = 1_500_000
 PART_WORDS = 1_000_000
 BURN_IN, SAMPLES = 1, 2
