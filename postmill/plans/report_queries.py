@@ -258,7 +258,7 @@ REPORT = f"""
         rpad(coalesce(email_category, 'UNKNOWN'), 40, ' ') || ' ' || {_r('total', 6)} || ' ' || {_d('avg_accuracy', 6)} ||
         ' ' || {_d('pct_clean', 7)} || '%  ' || {_RESULTS} || CASE WHEN pct_clean >= 25 AND total >= 100 THEN ' ★' ELSE '' END
         FROM by_category
-    UNION ALL SELECT 24, unnest([0, 1]), '', unnest(['', '  ★ = graduation candidate (≥25% clean, ≥100 emails)'])
+    UNION ALL SELECT 24, unnest([0, 1]), '', unnest(['', '  ★ marks categories of at least 25% clean replies over 100 emails or more'])
     UNION ALL {_head(30, '3. LAST 7 DAYS  (daily trend)')}
     UNION ALL SELECT 32, unnest([0, 1]), '', unnest(['  ' || rpad('Date', 12, ' ') || ' ' || lpad('Reconciled', 11, ' ') ||
         ' ' || lpad('Avg Acc', 8, ' ') || '  ' || {_HEAD}, '  ' || repeat('-', 68)])
@@ -270,8 +270,7 @@ REPORT = f"""
     UNION ALL SELECT 43, -pct_clean, coalesce(email_category, 'UNKNOWN'), '  ' ||
         rpad(coalesce(email_category, 'UNKNOWN'), 40, ' ') || ' ' || {_r('total', 6)} || ' ' || {_d('pct_clean', 7)} || '% ' ||
         {_d('avg_accuracy', 8)} || '%' FROM graduates
-    UNION ALL SELECT 44, unnest([0, 1, 2]), '', unnest(['', '  ACTION: Review these categories. If confident,',
-        '  toggle the graduation config to enable auto-send.'])
+    UNION ALL SELECT 44, unnest([0, 1]), '', unnest(['', '  Read some replies of each before it is switched to automatic sending.'])
     UNION ALL SELECT 50, unnest([0, 1, 2, 3]), '', unnest(['', {_RULE}, '  END OF REPORT', {_RULE}]))"""
 DAILY = f"""
     SELECT CAST(reconciled_at AS DATE) AS day, count(*) AS reconciled, round(avg(accuracy_score), 1) AS avg_accuracy, {COUNTS}

@@ -65,7 +65,7 @@ def test_report_with_and_without_data(spark):
     assert "  Reconciled           :  110  (100.0%)" in full
     empty = report(accuracy.limit(0), log.limit(0))
     assert "  No data yet." in empty and "  No reconciled emails in the last 7 days." in empty
-    assert "  Total drafts created :  0" in empty and "  None yet — threshold: 95.0% clean over 100+ emails." in empty
+    assert "  Total drafts created :  0" in empty and "  No category has 95% clean replies over 100 emails so far." in empty
 
 
 def test_failures_override_graduation(spark):
