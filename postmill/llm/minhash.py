@@ -6,7 +6,9 @@ Bands of bins are buckets. Inside a bucket only a star is drawn, from one hub to
 members, so candidate pairs grow with the bucket's size and not with its square. Candidates are
 confirmed on the full shingle sets. What a hub cannot link may still be linked beside it: members of
 buckets that hold several components after that are keyed again by many finer keys of twice
-as many bins, each shared by hardly any but near copies, and stars are drawn in these buckets.
+as many bins, which most near copies share with few others, and stars are drawn in these buckets.
+In the buckets that hold several components even then, all pairs of different components are
+compared, block against block, so stars lose no link.
 
 Equal sets are one node from the start: a group of copies enters the search once.
 
@@ -31,6 +33,8 @@ BANDS = (1 << BIN_BITS) // ROWS
 FIRST_BANDS = 3  # a first round over so many bands joins most copies, so that later rounds compare little
 FINE_ROWS, FINE_BANDS = 12, 256
 PER_PART = 256  # members of a hub that one copy of its set serves
+BLOCK, BLOCK_SHINGLES = 256, 500_000  # about so many members, or shingles of members, are a block
+WIDE = 4096  # shingles that are counted at a time
 
 
 def donor_orders(seed: int = 5) -> np.ndarray:
@@ -177,6 +181,92 @@ def finer(sets: DataFrame) -> DataFrame:
     return written(rows, "fine").join(written(shared, "fine-shared"), ["band", "key"]).select("band", "key", "node", "n")
 
 
+def block_pairs(members: DataFrame) -> DataFrame:
+    """(unit, node, c, side): each pair of different components in a bucket of ``members`` meets in some unit.
+
+    A bucket is dealt into blocks, a component that fills a block has its own; a unit is two blocks, or one against itself. Buckets
+    with equal members give one unit. ``side`` is 1 in the first block, 2 in the second and 3 if both are the same.
+    """
+    whole = written(members.groupBy("band", "key", "c").agg(F.count("*").alias("m"), F.sum("n").alias("n")), "held")
+    bulk = (F.col("m") >= BLOCK) | (F.col("n") >= BLOCK_SHINGLES)
+    own = F.when(bulk, F.col("c"))  # null: a block of several small components
+    per = whole.withColumn("own", own).groupBy("band", "key", "own").agg(
+        F.ceil(F.greatest(F.sum("m") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    per = written(per, "parts")
+    lot = whole.select("band", "key", "c", own.alias("own")).withColumnRenamed("c", "_c")
+    lot = lot.join(per.select(F.col("band").alias("_band"), F.col("key").alias("_key"), F.col("own").alias("_own"), "parts"),
+                   (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key")) & F.col("own").eqNullSafe(F.col("_own"))).drop("_band", "_key", "_own")
+    lot = written(lot, "lots").select(F.col("band").alias("_band"), F.col("key").alias("_key"), "_c", "own", "parts")
+    block = F.struct("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    dealt = written(
+        members.join(lot, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key")) & (F.col("c") == F.col("_c")))
+        .select("band", "key", "node", "c", block.alias("block")), "dealt")
+    blocks = written(dealt.select("band", "key", "block").distinct(), "blocks")
+    other = blocks.withColumnRenamed("block", "with")
+    units = blocks.join(other, ["band", "key"]).filter("block <= with and not coalesce(block.own = with.own, false)")
+    units = written(units.withColumn("unit", F.monotonically_increasing_id()), "block-pairs")
+    sides = units.filter("block = with").select("band", "key", "block", "unit", F.lit(3).alias("side")).unionByName(
+        units.filter("block != with").select("band", "key", "block", "unit", F.lit(1).alias("side"))).unionByName(
+        units.filter("block != with").select("band", "key", F.col("with").alias("block"), "unit", F.lit(2).alias("side")))
+    keyed = F.xxhash64("band", "key", "block")
+    meet = dealt.withColumn("at", keyed).join(
+        sides.withColumn("at", keyed).select("at", F.col("band").alias("_band"), F.col("key").alias("_key"), F.col("block").alias("_block"), "unit", "side"), "at"
+    ).filter((F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key")) & F.col("block").eqNullSafe(F.col("_block")))
+    held = meet.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("side", "node", "c"))).alias("rows"))
+    once = written(held.select("rows").distinct().withColumn("unit", F.monotonically_increasing_id()), "units")
+    return once.select("unit", F.explode("rows").alias("x")).select("unit", "x.node", "x.c", "x.side")
+
+
+def shared_counts(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
+    """The number of common shingles of each set of ``first`` with each of ``second``."""
+    sizes = [len(x) for x in first + second]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    column, m = np.unique(np.concatenate(first + second), return_inverse=True, return_counts=True)[1:]
+    several = m > 1
+    row, column = row[several[column]], (np.cumsum(several) - 1)[column[several[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(first), len(second)), np.float64)
+    for lo in range(0, int(several.sum()), WIDE):
+        i, j = np.searchsorted(column, [lo, lo + WIDE])
+        x = np.zeros((len(sizes), WIDE), np.float32)
+        x[row[i:j], column[i:j] - lo] = 1
+        out += x[: len(first)] @ x[len(first) :].T
+    return out.astype(np.int64)
+
+
+def compared(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join the components of a unit as all its confirmed pairs do."""
+
+    def run(group: pa.Table) -> pa.Table:
+        node, c, n, side = (group.column(x).to_numpy() for x in ("node", "c", "n", "side"))
+        found = [np.frombuffer(x.as_buffer(), U64) for x in group.column("set")]
+        x, y = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+        fits = (c[x][:, None] != c[y]) & (100 * np.minimum(n[x][:, None], n[y]) >= percent * np.maximum(n[x][:, None], n[y]))
+        if side[0] == 3:
+            fits = np.triu(fits)
+        links = []
+        if fits.any():
+            both = shared_counts([found[i] for i in x], [found[i] for i in y])
+            near = fits & (100 * both >= percent * (n[x][:, None] + n[y] - both))
+            up = {k: k for k in c.tolist()}
+
+            def root(k):
+                while up[k] != k:
+                    up[k] = k = up[up[k]]
+                return k
+
+            for i, j in np.argwhere(near):
+                a, b = root(int(c[x[i]])), root(int(c[y[j]]))
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+                    links.append((node[x[i]], node[y[j]]))
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return units.join(sets.select("node", "n", "set"), "node").groupBy("unit").applyInArrow(run, "a long, b long")
+
+
 def link(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     spark = docs.sparkSession
@@ -191,8 +281,8 @@ def link(docs: DataFrame, size: int, percent: int) -> DataFrame:
     twice = same.join(several.select(F.col("node").alias("a")), "a", "left_semi").distinct()
 
     members = nodes.select("node", "n", F.posexplode("bands").alias("band", "key")).distinct()
-    shared = members.groupBy("band", "key").agg(F.count("*").alias("m")).filter("m > 1").select("band", "key")
-    members = written(members.join(written(shared, "shared"), ["band", "key"]).select("band", "key", "node", "n"), "members")
+    shared = written(members.groupBy("band", "key").agg(F.count("*").alias("m")).filter("m > 1"), "shared")
+    members = written(members.join(shared.select("band", "key"), ["band", "key"]).select("band", "key", "node", "n"), "members")
     sets = written(full_sets(docs, members.select("node").distinct(), size).dropDuplicates(["node"]), "sets")
 
     known = components(written(twice, "twice"))
@@ -206,6 +296,10 @@ def link(docs: DataFrame, size: int, percent: int) -> DataFrame:
         tested = pairs if tested is None else tested.unionByName(pairs)
         if pairs.limit(1).count():
             known = components(written(confirmed(pairs, sets, percent), "confirmed"), known)
+    # the star of two members was their only pair
+    rest = written(open_buckets(members.join(written(shared.filter("m > 2").select("band", "key"), "larger"), ["band", "key"]), known), "rest")
+    if rest.limit(1).count():
+        known = components(written(compared(block_pairs(rest), sets, percent), "compared"), known)
     owner = written(
         nodes.select("print", "node").join(known, "node", "left").select("print", F.coalesce("component", "node").alias("component")), "owner"
     )

@@ -160,6 +160,24 @@ def test_one_id_with_two_texts_is_one_document(spark):
     assert {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(docs).collect()} == {(5, 5), (6, 5), (7, 5), (8, 8)}
 
 
+@pytest.mark.parametrize("block", [256, 7])
+def test_near_copies_that_are_not_near_each_other(spark, monkeypatch, block):
+    """Every copy is near one text of middle id, and near nothing else."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    words = prose(60, 400).split()
+    rows = [(60, " ".join(words))]
+    for k in [*range(1, 60), *range(61, 151)]:
+        r = np.random.default_rng(k)
+        copy = list(words)
+        for at in np.arange(5, 400, 48)[:8] + r.integers(0, 40, 8):
+            copy[min(at, 394)] = f"new{k}x{at}"
+        rows.append((k, " ".join(copy)))
+    want = brute_components([(*r, "en", "a", 1) for r in rows], 5, 80)
+    assert {c for _, c in want.values()} == {1}
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 # ---- 3 sharding
 
 
