@@ -405,6 +405,36 @@ def test_passages(spark, hard):
     assert {1, 2, 3, 8, 9} <= set(covered) and not set(covered) & set(range(100, 130))
 
 
+def variants(enough):
+    """Documents with variants of a passage, mostly not near the first one, and the ids that share ``enough`` signatures with a near one."""
+    words, rows = prose(70, 60).split(), []
+    for k in range(24):
+        r = np.random.default_rng(700 + k)
+        variant = list(words)
+        for at in r.choice([6, 14, 22, 30, 38, 46, 54], 2 if k else 5, replace=False):
+            variant[at] = f"new{at}" if k else f"far{at}"
+        rows.append((k, prose(800 + k, 60) + " " + " ".join(variant) + " " + prose(900 + k, 60)))
+    windows = passages.compact_windows([passages.shingles(passages.WordHashes().of(t.encode().lower().split()), 5) for _, t in rows], [i for i, _ in rows], 46)
+    keys = collections.defaultdict(set)
+    for w in windows:
+        keys[int(w["doc"])].add((int(w["key"]), int(w["sig"])))
+    texts = [t.encode().lower().split() for _, t in rows]
+    x = [passages.shingles(passages.WordHashes().of(t), 5) for t in texts]
+    want = {
+        i for a in range(24) for b in range(a + 1, 24)
+        if len({s for _, s in keys[a] & keys[b]}) >= enough and passages.stretches(x[a], x[b], 50, 80) for i in (a, b)
+    }
+    return rows, want
+
+
+@pytest.mark.parametrize("turns", [2_000_000, 1])
+def test_passages_in_variants(spark, monkeypatch, turns):
+    monkeypatch.setattr(passages, "TURNS", turns, raising=False)
+    rows, want = variants(passages.ENOUGH)
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(want) > 12 and {i for r in got for i in (r["doc_id"], r["origin_id"])} >= want
+
+
 def test_passages_empty(empty):
     assert passages.repeated_passages(empty).count() == 0
 
