@@ -435,6 +435,24 @@ def test_passages_in_variants(spark, monkeypatch, turns):
     assert len(want) > 12 and {i for r in got for i in (r["doc_id"], r["origin_id"])} >= want
 
 
+def test_two_signatures_are_enough(spark):
+    """Pairs that share a short passage with one edit, of which some agree in two signatures only."""
+    rows, x = [], []
+    for k in range(60):
+        words = prose(1000 + k, 56).split()
+        for i in (2 * k, 2 * k + 1):
+            rows.append((i, prose(2000 + i, 60) + " " + " ".join(words) + " " + prose(3000 + i, 60)))
+            words = [*words[:28], "new", *words[29:]]
+    for _, t in rows:
+        x.append(passages.shingles(passages.WordHashes().of(t.encode().lower().split()), 5))
+    keys = collections.defaultdict(set)
+    for w in passages.compact_windows(x, [i for i, _ in rows], 46):
+        keys[int(w["doc"])].add((int(w["key"]), int(w["sig"])))
+    shared = {a: len({s for _, s in keys[a] & keys[a + 1]}) for a in range(0, 120, 2) if passages.stretches(x[a], x[a + 1], 50, 80)}
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert 2 in shared.values() and {r["origin_id"] for r in got} >= {a for a, n in shared.items() if n >= 2}
+
+
 def test_passages_empty(empty):
     assert passages.repeated_passages(empty).count() == 0
 
