@@ -289,7 +289,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are not contaminated by the benchmark items."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"))
-    # ids are unique here: the stage follows de-duplication; rows without an id are judged together
+    # a verdict depends on the text alone; ids may be null or repeated
+    found = contamination(docs.select(F.xxhash64("text").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     bad = written(found.filter("contaminated").select(F.col("doc_id").alias(other := fresh(docs, "other_id"))).distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(other)), "left_anti")
+    return docs.join(bad, F.xxhash64(docs["text"]) == F.col(other), "left_anti")

@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import ODD, U64, WordHashes, components, mix, rows_of, shingles, table, written
+from .common import ODD, U64, WordHashes, components, fresh, mix, rows_of, shingles, table, written
 from .registry import query
 
 BIN_BITS = 8
@@ -339,10 +339,13 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each group of near copies; rows without an id stay."""
-    out = near_duplicates(docs, size=5, percent=80)
-    kept = written(out.filter("kept and doc_id is not null").select("doc_id").distinct(), "kept")
-    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").select(docs.columns)
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
-
-
+    """One row for each group of near copies, of the smallest id; texts of a repeated id are judged one by one, rows without an id stay."""
+    row = fresh(docs, "row_key")
+    # (doc_id, text) is a document here
+    named = docs.filter("doc_id is not null").withColumn(row, F.xxhash64("doc_id", "text"))
+    linked = written(link(named.select(F.col(row).alias("doc_id"), "text"), 5, 80).distinct(), "linked")
+    ids = named.select("doc_id", F.col(row).alias("_row")).distinct().join(linked.withColumnRenamed("doc_id", "_linked"), F.col("_row") == F.col("_linked"))
+    ids = written(ids.select("doc_id", "_row", "n_shingles", "component_id"), "ids")
+    first = ids.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("x")).select(F.col("x._row").alias(row))
+    kept = written(first.unionByName(ids.filter("n_shingles = 0").select(F.col("_row").alias(row))), "kept")
+    return named.join(kept, row, "left_semi").dropDuplicates([row, "doc_id"]).select(docs.columns).unionByName(docs.filter("doc_id is null"))

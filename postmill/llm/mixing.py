@@ -131,9 +131,9 @@ def rounded(sizes: DataFrame, wanted: DataFrame, solution: DataFrame, most: int
     return plan
 
 
-def mix_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) for every row of ``docs``."""
-    rows = written(docs.select("doc_id", "source", n_words().alias("size")), "sizes")
+def mix_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, also: tuple = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies) for every row of ``docs``, with the columns ``also``, which break ties of ids."""
+    rows = written(docs.select("doc_id", "source", n_words().alias("size"), *also), "sizes")
     sizes = written(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "size-counts")
     wanted = written(targets(sizes, weights, share, most), "targets")
     plan = rounded(sizes, wanted, solve(sizes, wanted, most), most)
@@ -143,10 +143,10 @@ def mix_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHAR
     )
     per = written(per, "mix")
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    placed = ranked(rows, ["source", "size"], [F.col("doc_id")], total, "_rank")
+    placed = ranked(rows, ["source", "size"], [F.col("doc_id"), *map(F.col, also)], total, "_rank")
     # a size may hold a third of all rows: both sides come straight from a shuffle, so a large key is split
     return placed.join(per, placed["source"].eqNullSafe(per["_source"]) & (placed["size"] == per["_size"])).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("_each") + (F.col("_rank") < F.col("_extra")).cast("long")).alias("copies")
+        "doc_id", "source", "size", "source_size", "target", (F.col("_each") + (F.col("_rank") < F.col("_extra")).cast("long")).alias("copies"), *also
     )
 
 
@@ -157,9 +157,11 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its copies say; rows of one doc_id follow one decision."""
-    other, copies, copy = (fresh(docs, name) for name in ("other_id", "n_copies", "copy"))
-    mixed = mix_documents(docs).groupBy(F.col("doc_id").alias(other)).agg(F.max("copies").cast("int").alias(copies))
+    """Each row as often as its copies say; rows that are equal in all columns are one row with the sum of their copies."""
+    row, copies, copy = (fresh(docs, name) for name in ("row_key", "n_copies", "copy"))
+    whole = [F.struct(F.col(c).isNull(), F.col(c)) for c in docs.columns]
+    keyed = docs.withColumn(row, F.struct(F.xxhash64(*whole), F.xxhash64(F.lit(1), *whole)))
+    mixed = mix_documents(keyed, also=(row,)).groupBy(row).agg(F.sum("copies").cast("int").alias(copies))
     mixed = written(mixed.filter(F.col(copies) > 0), "mixed")
-    taken = docs.join(mixed, docs["doc_id"].eqNullSafe(F.col(other)))
+    taken = keyed.dropDuplicates([row]).join(mixed, row)
     return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)

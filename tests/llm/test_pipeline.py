@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline
 from postmill.llm import decontaminate, minhash, mixing, quality
 
-from .conftest import hard_rows
+from .conftest import COLUMNS, hard_rows, prose
 from .test_documents import brute_components, brute_contamination
 
 
@@ -66,3 +66,20 @@ def test_quality_stage_follows_the_scores(spark, hard, folder):
 def test_stage_on_nothing(spark, empty, folder, name):
     sf_dir = folder(empty)
     assert dict(corpus_pipeline.STAGES)[name](spark, empty, sf_dir).count() == 0
+
+
+def test_rows_of_one_id_are_judged_one_by_one(spark, folder):
+    bad, clean = prose(2, 70), [prose(1000 + k, 100) for k in range(8)]
+    ids = [None, None, None, 7, 7, 7, 8, 9]
+    rows = [(i, t, "en", "abc"[k % 3], 1) for k, (i, t) in enumerate(zip(ids, clean, strict=True))]
+    docs = spark.createDataFrame([*rows, (None, bad, "en", "a", 1), (7, bad, "en", "a", 1), (9, clean[3], "en", "a", 1)], COLUMNS)
+    path = folder(docs)
+    left = decontaminate.decontaminate_stage(spark, docs, path).collect()
+    assert sorted(r["text"] for r in left) == sorted([*clean, clean[3]])
+    single = minhash.dedup_stage(spark, docs, path).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in single) == sorted([*((i or 0, t) for i, t, *_ in rows), (0, bad), (7, bad)])
+    taken = {r["source"]: r["t"] for r in mixing.mix_documents(docs).selectExpr("source", "size * copies as x").groupBy("source").sum("x").withColumnRenamed("sum(x)", "t").collect()}
+    got = {}
+    for r in mixing.mixing_stage(spark, docs, path).collect():
+        got[r["source"]] = got.get(r["source"], 0) + len(r["text"].split())
+    assert got == taken
