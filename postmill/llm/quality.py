@@ -14,6 +14,7 @@ and the text are neither read nor returned.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -138,7 +139,7 @@ def train(rows: list[tuple[bytes, int]], classes: int = 2, seed: int = 7) -> Mod
 
 
 def sample(docs: DataFrame, labels: DataFrame, usable: Column) -> list[tuple[bytes, int]]:
-    """At most ``SAMPLE_ROWS`` rows of each class, the lowest by a hash of the id, while their bytes fit."""
+    """At most ``SAMPLE_ROWS`` rows of each class, the lowest by a hash of the id; texts that no longer fit are left out."""
     known = (
         labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).filter(usable)
         .groupBy("doc_id").agg(F.min("quality").alias("label"))
@@ -154,13 +155,15 @@ def sample(docs: DataFrame, labels: DataFrame, usable: Column) -> list[tuple[byt
         .groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
         .withColumn("at", order).orderBy("at", "doc_id").select("text", "label")
     )
-    rows, size = [], 0
+    rows, size, met = [], 0, set()
     for text, label in texts.toLocalIterator():
         data = (text or "").encode()
-        size += len(data)
-        if size > SAMPLE_BYTES:
-            break
-        rows.append((data, label))
+        met.add(label)
+        if size + len(data) <= SAMPLE_BYTES:
+            size += len(data)
+            rows.append((data, label))
+    if lacking := met - {label for _, label in rows}:
+        warnings.warn(f"no text of class {sorted(lacking)} fits into {SAMPLE_BYTES} bytes", stacklevel=2)
     return rows
 
 

@@ -495,6 +495,15 @@ def test_quality_classifier(spark, hard):
     assert {r["score"] for r in scored if r["doc_id"] in (4, 5, 6)} == {0.5}
 
 
+def test_a_text_too_long_for_the_sample_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 1000)
+    docs = spark.createDataFrame([(k, "w" * (5000 if k % 3 else 20)) for k in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(30)], "doc_id long, quality int, toxic int")
+    assert sorted(quality.sample(docs, labels, F.lit(True))) == sorted((b"w" * 20, k % 2) for k in range(0, 30, 3))
+    with pytest.warns(UserWarning, match="no text of class"):
+        assert quality.sample(docs.filter("doc_id % 3 = 1"), labels, F.lit(True)) == []
+
+
 def test_quality_without_labels(spark, hard, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = quality.fit(hard, none)
