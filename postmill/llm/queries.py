@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, minhash, mixing, passages, pitman_yor, quality, rules, sharding, tokenfile  # noqa: F401
+from . import (  # noqa: F401
+    chat, decontaminate, minhash, mixing, passages, pitman_yor, quality, regions, resampling, rules, sharding, survival, tokenfile,
+)
 from .registry import QUERIES, SQL
 
 
