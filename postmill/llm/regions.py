@@ -57,6 +57,8 @@ MARKS = {
 }
 MARK_OF = {word: kind for kind, words in MARKS.items() for word in words.split()}
 ARTICLE_ROLES = ("main", "article")
+#: Whole names of class and id that boxes around an article often have; they count where no element says it by its tag or role.
+ARTICLE_NAMES = set("content main main-content maincontent article article-body article-content entry entry-content post post-body post-content story story-body".split())
 #: Tags that end an open element of their own kind, up to the element that bounds it.
 CLOSED_BY = {
     "li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
@@ -80,6 +82,7 @@ CLAMP = 4.0
 INSIDE, OUTSIDE = 6.0, -6.0
 DIP = 2.0  # what a marked element costs a region that goes across it
 TAG_LEAST, TAG_MOST = 0.1, 2.0
+DEPTH = 512  # elements open at a time, as in browsers; what is opened beyond counts as part of the one around it
 
 
 class Element:
@@ -94,13 +97,13 @@ class Element:
 class Page:
     """Blocks and tags of a page in order.
 
-    ``blocks`` holds (text, words, innermost block tag, words in links, element); ``elements`` holds (parent, mark, name, is an article)
-    of every element, parents first; ``tokens`` holds a tag's name or a block's index.
+    ``blocks`` holds (text, words, innermost block tag, words in links, element); ``elements`` holds (parent, mark, name, how surely
+    it is the article) of every element, parents first; ``tokens`` holds a tag's name or a block's index.
     """
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, int, str, int, int]] = []
-        self.elements: list[tuple[int, str | None, str, bool]] = [(-1, None, "", False)]
+        self.elements: list[tuple[int, str | None, str, int]] = [(-1, None, "", 0)]
         self.tokens: list[str | int] = []
         self.parse(source)
 
@@ -165,6 +168,8 @@ class Page:
                 close(("p",), ("div", "section", "article", "main", "td", "th", "li", "blockquote", "button", "object"))
             if name in CLOSED_BY:
                 close(*CLOSED_BY[name])
+            if len(stack) > DEPTH:
+                continue
             mark, article = self.marked(name, rest)
             above = stack[-1]
             self.elements.append((above.number, mark, name, article))
@@ -181,47 +186,53 @@ class Page:
                 return  # a stray end tag does not reach beyond these
 
     @staticmethod
-    def marked(name: str, rest: str) -> tuple[str | None, bool]:
-        """What an element is marked as, and whether it says that it holds the article."""
-        mark, article = MARKED.get(name), name in ("article", "main")
+    def marked(name: str, rest: str) -> tuple[str | None, int]:
+        """What an element is marked as, and whether it says that it holds the article: 2 by tag or role, 1 by a name."""
+        mark, article = MARKED.get(name), 2 if name in ("article", "main") else 0
         if name in ("html", "body"):
-            return None, False
+            return None, 0
         if rest:
             for key, *values in MARKING.findall(rest):
-                words = [w.lower() for w in WORDS_OF_NAME.findall("".join(values))]
+                value = "".join(values)
+                if name in ("article", "main"):  # only a whole name marks these, not a part of one
+                    words = value.lower().split()
+                else:
+                    words = [w.lower() for w in WORDS_OF_NAME.findall(value)]
                 if key.lower() == "itemprop":
-                    article = article or words == ["article", "body"]
+                    article = 2 if value.lower() == "articlebody" else article
                 elif key.lower() == "role":
-                    article = article or (len(words) == 1 and words[0] in ARTICLE_ROLES)
+                    article = 2 if len(words) == 1 and words[0] in ARTICLE_ROLES else article
                     mark = mark or next((MARK_OF[w] for w in words if w in MARK_OF), None)
                 else:
                     mark = mark or next((MARK_OF[w] for w in words if w in MARK_OF), None)
+                    article = article or int(not ARTICLE_NAMES.isdisjoint(value.lower().split()))
         if name in ("article", "main") and mark not in ("comments", "ad", "side"):
             mark = None
-        return mark, article and mark is None
+        return mark, article if mark is None else 0
 
     def read(self) -> tuple[list[str | None], list[bool], bool]:
         """For every element its mark or that of what it lies in, and whether it lies in the page's article; whether there is one."""
         count = len(self.elements)
         own = [0] * count
-        plain = [False] * count  # no marked element around, counting only marks that an article never has around it
+        depth = [0] * count  # marks around an element, of those that an article never has around it
         hard = ("comments", "ad", "side", "menu", "footer", "code", "form")
         for k, (parent, mark, _, _) in enumerate(self.elements):
-            plain[k] = parent < 0 or (plain[parent] and mark not in hard)
+            depth[k] = (depth[parent] if k else 0) + (mark in hard)
         for _, words, _, _, element in self.blocks:
-            if plain[element]:
-                own[element] += words
+            own[element] += words
         for k in range(count - 1, 0, -1):
-            own[self.elements[k][0]] += own[k]
+            parent = self.elements[k][0]
+            if depth[parent] == depth[k]:
+                own[parent] += own[k]
         best = None
-        named = [k for k in range(count) if self.elements[k][3]]
-        for free in (True, False):
-            found = [k for k in named if plain[k] == free]
-            if found:
-                best = max(found, key=lambda k: (own[k], k))
-                inner = [k for k in found if self.elements[k][2] == "article" and 2 * own[k] >= own[best]]
-                best = max(inner, key=lambda k: (own[k], -k)) if inner else best
-                break
+        surest = max(e[3] for e in self.elements)
+        named = [k for k in range(count) if 0 < self.elements[k][3] == surest]
+        if named:
+            least = min(depth[k] for k in named)
+            found = [k for k in named if depth[k] == least]
+            best = max(found, key=lambda k: (own[k], k))
+            inner = [k for k in found if self.elements[k][2] == "article" and 2 * own[k] >= own[best]]
+            best = max(inner, key=lambda k: (own[k], -k)) if inner else best
         holds, k = set(), best
         while k is not None and k > 0:  # what lies around the article is no advert
             holds.add(k)
@@ -322,16 +333,19 @@ def main_text(source: str | None, weights: tuple[dict[str, float], dict[str, flo
     scores = []
     within = False
     found = places(page, marks)
+    titled = any(name == "h1" and inside[e] and not marks[e] for _, _, name, _, e in page.blocks)
     for token in page.tokens:
         if isinstance(token, int):
-            _, n, _, _, element = page.blocks[token]
+            _, n, name, _, element = page.blocks[token]
             within = inside[element]
             weight = words.get(found[token])
             weight = log_odds(0, 0, prior(found[token])) if weight is None else weight
             if marks[element]:
                 scores.append(-DIP if within or not labelled else min(weight, 0.0) * n)
-            else:
-                scores.append((weight + (INSIDE if within else OUTSIDE if labelled else 0.0)) * n)
+            elif within:
+                scores.append((weight + INSIDE) * n)
+            else:  # a headline may stand before an article that has none itself
+                scores.append((weight + (OUTSIDE if labelled and (titled or name != "h1") else 0.0)) * n)
         else:
             scores.append(-TAG_LEAST if within else -tags.get(known(token), (TAG_LEAST + TAG_MOST) / 2))
     first, end = region(scores)
