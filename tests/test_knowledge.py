@@ -148,10 +148,9 @@ def test_topk_over_many_blocks_equals_brute_force(spark):
     rows = corpus()
     queries, kb = frames(spark, rows)
     lists = brute(rows)
-    sizes = {"left_rows": 7, "right_rows": 5}
-    near = listed(Q.cosine_topk(queries, kb, 3, exclude_self=True, **sizes))
+    near = listed(Q.cosine_topk(queries, kb, 3, exclude_self=True, cell=5, unit_rows=7))
     assert near == {q: near_list[:3] for q, (near_list, _) in lists.items()}
-    keyword = listed(Q.bm25(queries, kb, 3, exclude_self=True, **sizes))
+    keyword = listed(Q.bm25(queries, kb, 3, exclude_self=True, block=5, unit_rows=7))
     assert keyword == {q: k[:3] for q, (_, k) in lists.items() if k}
 
 
@@ -169,7 +168,7 @@ def test_hybrid_is_exact_in_one_block_and_in_many(spark):
     queries, kb = frames(spark, rows)
     want = fused(brute(rows), 3)
     assert listed(Q.hybrid_topk(queries, kb, 3, exclude_self=True)) == want
-    assert listed(Q.hybrid_topk(queries, kb, 3, exclude_self=True, left_rows=11, right_rows=6)) == want
+    assert listed(Q.hybrid_topk(queries, kb, 3, exclude_self=True, cell=6, block=6, unit_rows=11)) == want
 
 
 def test_hybrid_stays_exact_where_the_category_is_deeper_than_the_lists(spark):
@@ -178,7 +177,7 @@ def test_hybrid_stays_exact_where_the_category_is_deeper_than_the_lists(spark):
     queries, kb = frames(spark, rows)
     assert Q.fusion_depth(3) == 30
     want = fused(brute(rows), 3)
-    assert listed(Q.hybrid_topk(queries, kb, 3, exclude_self=True, right_rows=64)) == want
+    assert listed(Q.hybrid_topk(queries, kb, 3, exclude_self=True, cell=64, block=64)) == want
 
 
 def test_fusion_of_given_lists(spark):
