@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import cluster as K, kb as B, retrieve as Q
 from ..functions.text import terms
 from ..operators.drafts import kb_mapping
 from ..session import work_path, written
-from ..sources.files import append_kb, write_context
+from ..sources.files import append_kb, folders, read_kb, read_vectors, rename, save_vectors, write_context
 from . import views as V
 from .catalog import query
-from .oracle import text, with_tables
+from .oracle import embedded, text, with_tables
 
 THRESHOLD = 0.36
 WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
@@ -86,15 +86,21 @@ def embedding_cache(spark: SparkSession, d: str) -> DataFrame:
     return B.cache_status(V.hashed_articles(spark, d), _known(spark, d)).select("doc_id", "from_cache")
 
 
+def digest(vector: str = "embedding"):
+    """The values of a vector, each times its place from 1, added up: two vectors that differ hardly ever agree in it."""
+    places = F.transform(vector, lambda v, i: v.cast("double") * (i + 1))
+    return F.round(F.aggregate(places, F.lit(0.0), lambda a, v: a + v), 6).alias("digest")
+
+
 @query(with_tables("""
     SELECT doc_id, content_hash IN (SELECT content_hash FROM known) AS from_cache,
-           CASE WHEN content_hash IN (SELECT content_hash FROM known) THEN 2 ELSE 256 END AS dims
-    FROM hashed_articles""", "hashed_articles", extra={"known": KNOWN}))
+           CASE WHEN content_hash IN (SELECT content_hash FROM known) THEN 2.2 ELSE coalesce(digest, 0) END AS digest
+    FROM hashed_articles LEFT JOIN digests USING (doc_id)""", "hashed_articles", extra={"known": KNOWN, **embedded("documents", "doc_id", "text", WORDS)}))
 def embed_missing(spark: SparkSession, d: str) -> DataFrame:
     """Labelled articles have a stored vector; only the others are embedded."""
     stored = B.existing_hashes(_known(spark, d)).withColumn("embedding", F.array(F.lit(0.6), F.lit(0.8)))
     rows = B.embed_missing(V.hashed_articles(spark, d), stored, "canonical_answer")
-    return rows.select("doc_id", "from_cache", F.size("embedding").alias("dims"))
+    return rows.select("doc_id", "from_cache", digest())
 
 
 @query(r"""
@@ -108,29 +114,28 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "chunk_no", "n_words", F.md5("chunk_text").alias("digest"))
 
 
-@query(f"""
-    SELECT doc_id, 256 AS dims, CAST(len({WORDS}) > 0 AS DOUBLE) AS length,
-           CAST(len({WORDS}) AS INTEGER) AS n_terms
-    FROM documents""")
+@query(with_tables(f"""
+    SELECT doc_id, 256 AS dims, CAST(len({WORDS}) AS INTEGER) AS n_terms, coalesce(digest, 0) AS digest
+    FROM documents LEFT JOIN digests USING (doc_id)""", extra=embedded("documents", "doc_id", "text", WORDS)))
 def hashed_embedding(spark: SparkSession, d: str) -> DataFrame:
-    """Default embedding of every document; its single values are checked in the tests."""
+    """Default embedding of every document, by its values."""
     rows = B.hashed_tf(V.read(spark, d, "documents").select("doc_id", "text"), "text")
-    return rows.select(
-        "doc_id", F.size("embedding").alias("dims"), F.size(terms(F.col("text"))).alias("n_terms"),
-        F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v)), 6).alias("length"))
+    return rows.select("doc_id", F.size("embedding").alias("dims"), F.size(terms(F.col("text"))).alias("n_terms"), digest())
 
 
-BUILT = f"""
-    SELECT DISTINCT sha256('asks about ' || source || '|' || {ANSWER}) AS content_hash, source || '-claim' AS category,
-           256 AS dims
-    FROM documents WHERE {ANSWER} <> ''"""
+BUILT = with_tables("""
+    SELECT DISTINCT content_hash, source || '-claim' AS category, digest FROM built_rows JOIN digests USING (source)""",
+    extra={
+        "built_rows": f"SELECT source, 'asks about ' || source AS question, sha256('asks about ' || source || '|' || {ANSWER}) AS content_hash "
+                      f"FROM documents WHERE {ANSWER} <> ''",
+        **embedded("(SELECT DISTINCT source, question FROM built_rows)", "source", "question", WORDS),
+    })
 
 
 @query(BUILT)
 def kb_build(spark: SparkSession, d: str) -> DataFrame:
     """Whole build over skill files made of the documents; ids come from hashes."""
-    return B.build_kb(skill_files(spark, d), None, V.MAIL_NOW).select(
-        "content_hash", "category", F.size("embedding").alias("dims"))
+    return B.build_kb(skill_files(spark, d), None, V.MAIL_NOW).select("content_hash", "category", digest())
 
 
 @query(BUILT)
@@ -139,15 +144,54 @@ def kb_append(spark: SparkSession, d: str) -> DataFrame:
     path, files = work_path(spark, "kb"), skill_files(spark, d)
     append_kb(B.build_kb(files.filter(F.col("doc_id") % 2 == 0), None, V.MAIL_NOW), path)
     append_kb(written(B.build_kb(files, spark.read.parquet(path), V.MAIL_NOW), "more"), path)
-    return spark.read.parquet(path).select("content_hash", "category", F.size("embedding").alias("dims"))
+    return spark.read.parquet(path).select("content_hash", "category", digest())
+
+
+FILES = """
+    SELECT 'CANONICAL_skill_' || source || '-' || lang || '.md' AS filename, count(*) || ' documents of ' || sum(length(text)) || ' letters from '
+        || min(md5(text)) || ' to ' || max(md5(text)) AS text
+    FROM documents GROUP BY 1"""
+
+
+def _kb_folder(spark: SparkSession, d: str) -> str:
+    """A folder with a skill file for each source and language, which says what their documents come to, and a file that is none."""
+    docs = V.read(spark, d, "documents")
+    name = F.concat(F.lit("CANONICAL_skill_"), F.col("source"), F.lit("-"), F.col("lang"), F.lit(".md"))
+    files = docs.groupBy(name.alias("filename")).agg(V.summary("text").alias("value"))
+    files = files.unionByName(docs.agg(F.lit("README.md").alias("filename"), F.max("lang").alias("value")))
+    path = work_path(spark, "kb-files")
+    # Spark writes a folder for each name with one file of one row in it, which then gets the name
+    files.repartition("filename").write.partitionBy("filename").text(f"{path}/parts")
+    for folder in folders(spark, f"{path}/parts"):
+        for part in folders(spark, f"{path}/parts/{folder}") if folder.startswith("filename=") else ():
+            if part.startswith("part-"):
+                rename(spark, f"{path}/parts/{folder}/{part}", f"{path}/files/{folder.removeprefix('filename=')}")
+    return f"{path}/files"
+
+
+@query(with_tables("SELECT filename, md5(text || chr(10)) AS digest FROM files", extra={"files": FILES}))
+def kb_files(spark: SparkSession, d: str) -> DataFrame:
+    """Skill files written below the shared folder and read whole; other files are not read."""
+    return read_kb(spark, _kb_folder(spark, d)).select("filename", F.md5("text").alias("digest"))
+
+
+@query(with_tables("SELECT filename, CAST(row_number() OVER (ORDER BY filename) AS INTEGER) AS page FROM files", extra={"files": FILES}))
+def kb_files_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """The place of each file in the ordered scan, whose rows are numbered as they come."""
+    files = read_kb(spark, _kb_folder(spark, d), ordered=True).select("filename", F.monotonically_increasing_id().alias("at"))
+    return written(files, "pages").select("filename", F.row_number().over(Window.orderBy("at")).alias("page"))
 
 
 @query("""
-    SELECT vec_id AS kb_id, 64 AS dims FROM embeddings""")
+    SELECT vec_id AS kb_id, 64 AS dims,
+        round(list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[65 - i] AS DOUBLE) * -2 * i)), 6) AS digest FROM embeddings""")
 def vectors_of_model(spark: SparkSession, d: str) -> DataFrame:
-    v = V.read(spark, d, "embeddings").select(F.col("vec_id").alias("kb_id"), F.col("embedding").alias("vector"))
-    table = v.withColumn("model", F.lit("given")).unionByName(v.withColumn("model", F.lit("other")))
-    return B.vectors_of_model(table, "given").select("kb_id", F.size("vector").alias("dims"))
+    """Two models with different vectors, stored by model; one is read."""
+    v = V.read(spark, d, "embeddings").select(F.col("vec_id").alias("kb_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    other = v.withColumn("vector", F.transform(F.reverse("vector"), lambda x: x * -2))
+    path = work_path(spark, "vectors")
+    save_vectors(v.withColumn("model", F.lit("given")).unionByName(other.withColumn("model", F.lit("other"))), path)
+    return B.vectors_of_model(read_vectors(spark, path), "other").select("kb_id", F.size("vector").alias("dims"), digest("vector"))
 
 
 COSINES = """

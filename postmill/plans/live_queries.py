@@ -8,7 +8,7 @@ from ..session import work_path
 from ..streaming import streams as S
 from . import views as V
 from .catalog import query
-from .knowledge_queries import BUILT, skill_files
+from .knowledge_queries import BUILT, digest, skill_files
 from .mail_queries import TRI
 from .oracle import with_tables
 from .report_queries import scored
@@ -81,29 +81,35 @@ def stream_match_simple(spark: SparkSession, d: str) -> DataFrame:
     return _drain(spark, pairs, "match").select("draft_id", "message_id", "status")
 
 
-@query(with_tables("""
+LAST = "(SELECT max(t) - INTERVAL 1 HOUR FROM (SELECT max(created_at) AS t FROM drafts UNION ALL SELECT max(sent_at) FROM sent))"
+
+
+@query(with_tables(f"""
     SELECT draft_id, message_id, 'RECONCILED' AS status, edit_distance, result FROM pairs
     UNION ALL SELECT draft_id, NULL, 'ABANDONED', NULL, NULL FROM drafts
-    WHERE draft_id NOT IN (SELECT draft_id FROM pairs) AND created_at + INTERVAL 14 DAY <=
-        (SELECT max(t) - INTERVAL 1 HOUR FROM (SELECT max(created_at) AS t FROM drafts UNION ALL SELECT max(sent_at) FROM sent))""",
+    WHERE draft_id NOT IN (SELECT draft_id FROM pairs) AND created_at + INTERVAL 14 DAY <= {LAST}""",
     "sent", extra={"pairs": scored(
-        "SELECT draft_id, s.message_id, draft_text, body FROM drafts JOIN sent s USING (conv_id, turn)")}))
+        f"SELECT draft_id, s.message_id, draft_text, body FROM drafts JOIN sent s USING (conv_id, turn) WHERE s.sent_at <= {LAST}")}))
 def stream_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    """Matches of ids in event time; texts are joined and scored in the sink."""
     events = S.match_events(V.drafts(spark, d, V.stream), V.sent(spark, d, V.stream))
+    root = work_path(spark, "reconcile")
     before = spark.conf.get(PROVIDER, None)
     spark.conf.set(PROVIDER, ROCKS)
     try:
-        rows = _drain(spark, S.stream_reconcile(events), "reconcile")
+        S.run_batches(S.stream_reconcile(events), S.match_sink(V.drafts(spark, d), V.sent(spark, d), f"{root}/out"), f"{root}/progress")
     finally:
         spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
-    return rows.select("draft_id", "message_id", "status", "edit_distance", "result")
+    return spark.read.parquet(f"{root}/out").select("draft_id", "message_id", "status", "edit_distance", "result")
 
 
 @query(with_tables("""
-    SELECT message_id AS draft_id, thread_id, received_at AS created_at, 'PENDING' AS status
-    FROM messages WHERE role <> 'system'""", "messages"))
+    SELECT message_id AS draft_id, thread_id, received_at AS created_at, 'PENDING' AS status, CAST(NULL AS VARCHAR) AS reason, 1 AS lines
+    FROM messages WHERE role <> 'system'
+    UNION ALL SELECT NULL, thread_id, NULL, 'REJECTED', 'draft_id missing', 2 * count(*) FROM messages WHERE role = 'system' GROUP BY thread_id
+    UNION ALL SELECT NULL, NULL, NULL, 'REJECTED', 'not a JSON object', count(*) FROM messages""", "messages"))
 def stream_staging(spark: SparkSession, d: str) -> DataFrame:
-    """Staged lines become draft-log rows; each line arrives twice."""
+    """Staged lines become draft-log rows; each line arrives twice, and with each a broken one."""
     record = F.struct(
         F.when(F.col("role") != "system", F.col("message_id")).alias("draft_id"), "thread_id",
         F.date_format("received_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), F.col("body").alias("draft_text"))
@@ -111,7 +117,12 @@ def stream_staging(spark: SparkSession, d: str) -> DataFrame:
         F.explode(F.array(F.to_json(record), F.to_json(record), F.lit("{broken"))).alias("value"))
     root = work_path(spark, "staging")
     S.run_batches(lines, S.staging_sink(f"{root}/log"), f"{root}/progress")
-    return spark.read.parquet(f"{root}/log").select("draft_id", "thread_id", "created_at", "status")
+    log = spark.read.parquet(f"{root}/log").select("draft_id", "thread_id", "created_at", "status")
+    rejects = spark.read.parquet(f"{root}/log_rejected").withColumn("thread_id", F.get_json_object("line", "$.thread_id"))
+    none = F.lit(None).cast("string")
+    counted = rejects.groupBy("thread_id", "reason").agg(F.count("*").alias("lines")).select(
+        none.alias("draft_id"), "thread_id", F.lit(None).cast("timestamp").alias("created_at"), F.lit("REJECTED").alias("status"), "reason", "lines")
+    return log.withColumns({"reason": none, "lines": F.lit(1).cast("long")}).unionByName(counted)
 
 
 @query(BUILT)
@@ -119,4 +130,4 @@ def stream_kb(spark: SparkSession, d: str) -> DataFrame:
     root = work_path(spark, "kb")
     files = skill_files(spark, d, V.stream)
     S.run_batches(files, S.kb_sink(f"{root}/kb", V.MAIL_NOW), f"{root}/progress")
-    return spark.read.parquet(f"{root}/kb").select("content_hash", "category", F.size("embedding").alias("dims"))
+    return spark.read.parquet(f"{root}/kb").select("content_hash", "category", digest())

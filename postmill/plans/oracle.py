@@ -152,3 +152,47 @@ def with_tables(body: str, *names: str, extra: dict[str, str] | None = None) ->
     parts = [f"{n} AS ({TABLES[n].strip()})" for n in order]
     parts += [f"{n} AS ({q.strip()})" for n, q in (extra or {}).items()]
     return f"WITH {', '.join(parts)} {body.strip()}" if parts else body.strip()
+
+
+# ---- the default embedding in SQL: terms fall into 256 places by the low bits of a 32-bit Murmur3 hash
+
+_MASK = 4294967295
+
+
+def _times(x: str, factor: int) -> str:
+    return f"CAST((CAST({x} AS HUGEINT) * {factor}) % 4294967296 AS BIGINT)"
+
+
+def _rotated(x: str, by: int) -> str:
+    return f"(((({x}) << {by}) | (({x}) >> {32 - by})) & {_MASK})"
+
+
+def _mixed(k: str) -> str:
+    return _times(_rotated(_times(k, 0xCC9E2D51), 15), 0x1B873593)
+
+
+def hashed_terms(words: str) -> dict[str, str]:
+    """Tables that give ``term_places`` (term, place) for the distinct ``term`` of the table ``words``."""
+    at = lambda i: f"b[{i}]"
+    step = "list_reduce(list_prepend(42, blocks), lambda h, k: " + f"({_times(_rotated('xor(h, k)', 13), 5)} + 3864292196) & {_MASK})"
+    return {
+        "term_bytes": f"SELECT term, list_transform(range(octet_length(encode(term))), lambda i: CAST('0x' || substr(hex(encode(term)), 2 * i + 1, 2) AS BIGINT)) AS b "
+                      f"FROM (SELECT DISTINCT term FROM {words})",
+        "term_blocks": f"SELECT term, len(b) AS n, list_transform(list_transform(range(len(b) // 4), lambda i: {at('4*i+1')} | ({at('4*i+2')} << 8) | ({at('4*i+3')} << 16) | ({at('4*i+4')} << 24)), "
+                       f"lambda k: {_mixed('k')}) AS blocks, coalesce(list_sum(list_transform(range(len(b) % 4), lambda i: b[len(b) // 4 * 4 + i + 1] << (8 * i))), 0) AS tail FROM term_bytes",
+        "term_sums": f"SELECT term, n, {step} AS h, CAST(tail AS BIGINT) AS tail FROM term_blocks",
+        "term_ends": f"SELECT term, xor(CASE WHEN n % 4 > 0 THEN xor(h, {_mixed('tail')}) ELSE h END, n) AS h FROM term_sums",
+        "term_halves": f"SELECT term, {_times('xor(h, h >> 16)', 0x85EBCA6B)} AS h FROM term_ends",
+        "term_last": f"SELECT term, {_times('xor(h, h >> 13)', 0xC2B2AE35)} AS h FROM term_halves",
+        "term_places": "SELECT term, xor(h, h >> 16) & 255 AS place FROM term_last",
+    }
+
+
+def embedded(rows: str, key: str, text: str, words: str) -> dict[str, str]:
+    """Tables up to ``digests`` (key, digest): the vector's values, each times its place, added up, of every row of ``rows`` with a word."""
+    return {
+        "embedded_terms": f"SELECT {key}, unnest({words.replace('text', text)}) AS term FROM {rows}",
+        **hashed_terms("embedded_terms"),
+        "digests": f"SELECT {key}, round(sum(n * (place + 1)) / sqrt(sum(n * n)), 6) AS digest FROM "
+                   f"(SELECT {key}, place, count(*) AS n FROM embedded_terms JOIN term_places USING (term) GROUP BY 1, 2) GROUP BY 1",
+    }

@@ -223,6 +223,15 @@ def order_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def summary(text: str):
+    """What the texts of a group come to, as a line of bounded size that depends on all of them."""
+    digest = F.md5(text)
+    return F.concat(
+        F.count("*").cast("string"), F.lit(" documents of "), F.sum(F.length(text)).cast("string"), F.lit(" letters from "), F.min(digest),
+        F.lit(" to "), F.max(digest),
+    )
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Knowledge-base entries with text and vector: documents that have an embedding."""
     v = read(spark, sf_dir, "embeddings")

@@ -1,30 +1,52 @@
-"""Keyed state of the streaming draft-to-reply match."""
+"""Keyed state of the streaming draft-to-reply match, in event time."""
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-DAY_MS = 86_400_000
+DAY_US = 86_400_000_000
+COLUMNS = ["thread_id", "draft_id", "message_id", "status", "event_ts"]
 
 
 def _rows(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(
-        rows, columns=["thread_id", "draft_id", "message_id", "draft_text", "final_sent", "status", "event_ts"]
-    )
+    frame = pd.DataFrame(rows, columns=COLUMNS)
     frame["event_ts"] = pd.to_datetime(frame["event_ts"], unit="us")
     return frame
 
 
+def settle(drafts: list[tuple[int, str]], replies: list[tuple[int, str]], upto: int, days: int) -> tuple[list[tuple], list[str]]:
+    """Matches and expiries of one thread up to the time ``upto``: (draft_id, message_id, status, time), and the drafts that stay open.
+
+    ``drafts`` and ``replies`` are (time, id) in microseconds, none after ``upto``. In time order, a reply takes the newest open
+    draft that was made before or with it, at most ``days`` ago; of drafts made at once the lowest id.
+    """
+    made = sorted(drafts, key=lambda d: (-d[0], d[1]), reverse=True)  # oldest first, the lowest id last among equals
+    open_, done, at = [], [], 0
+    for when, message_id in sorted(replies):
+        while at < len(made) and made[at][0] <= when:
+            open_.append(made[at])
+            at += 1
+        if open_ and open_[-1][0] + days * DAY_US >= when:
+            done.append((open_.pop()[1], message_id, "RECONCILED", when))
+    rest = []
+    for when, draft_id in open_ + made[at:]:
+        limit = when + days * DAY_US
+        if limit <= upto:
+            done.append((draft_id, None, "ABANDONED", limit))
+        else:
+            rest.append(draft_id)
+    return done, rest
+
+
 class DraftMatcher(StatefulProcessor):
-    """Pending drafts of one thread as map draft_id -> (created, text).
+    """Open drafts and waiting replies of one thread, by id, with their times and nothing else.
 
-    A draft is open to replies for ``days`` and no longer, whether its timer has fired yet or
-    not: a reply that finds it too old reports it as abandoned at its deadline, as the timer would
-    have done. So the result does not depend on where a stream is cut into batches.
+    Events wait until the watermark has passed them, when all that came before them has arrived or is too late to
+    count, and are then settled in time order. So the result depends neither on the order of arrival nor on where
+    the stream is cut into batches. A draft is open to replies for ``days``, then it is abandoned.
     """
 
     def __init__(self, days: int):
@@ -32,47 +54,42 @@ class DraftMatcher(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getMapState("pending", "draft_id string", "created_us long, draft_text string")
+        self.drafts = handle.getMapState("drafts", "draft_id string", "us long")
+        self.replies = handle.getMapState("replies", "message_id string", "us long")
+        self.settled = handle.getValueState("settled", "us long")
 
-    def deadline(self, us: int) -> int:
-        """In milliseconds, as timers count."""
-        return us // 1000 + self.days * DAY_MS
+    def wake(self, us: int) -> None:
+        """A timer for when the watermark, which counts in milliseconds, has passed ``us``."""
+        self.handle.registerTimer(-(-us // 1000))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows), ignore_index=True)
-        events["us"] = events["event_ts"].astype("datetime64[us]").astype("int64")
-        events["is_reply"] = events["draft_id"].isna()
-        # Newest first, the lowest id first among equals; read from the state once for all events.
-        held = [(-us, draft_id, text) for (draft_id,), (us, text) in self.pending.iterator()]
-        heapq.heapify(held)
-        out = []
-        # In time order; a draft made at the instant of a reply counts as made before it.
-        order = events.sort_values(["us", "is_reply", "draft_id", "message_id"])
-        for us, is_reply, draft_id, message_id, draft_text, final_sent in zip(
-            *[order[c].tolist() for c in ("us", "is_reply", "draft_id", "message_id", "draft_text", "final_sent")], strict=True
-        ):
-            if not is_reply:
-                self.pending.updateValue((draft_id,), (us, draft_text))
-                self.handle.registerTimer(self.deadline(us))
-                heapq.heappush(held, (-us, draft_id, draft_text))
-            elif held and -held[0][0] + self.days * DAY_MS * 1000 < us:
-                # the newest is too old, and so are all
-                out += [self.abandoned(key, d, -made, text) for made, d, text in held]
-                held = []
-            elif held:
-                _, d, text = heapq.heappop(held)
-                self.pending.removeKey((d,))
-                out.append((key[0], d, message_id, text, final_sent, "RECONCILED", us))
-        yield _rows(out)
-
-    def abandoned(self, key, draft_id: str, us: int, text: str) -> tuple:
-        self.pending.removeKey((draft_id,))
-        return key[0], draft_id, None, text, None, "ABANDONED", self.deadline(us) * 1000
+        for events in rows:
+            times = events["event_ts"].astype("datetime64[us]").astype("int64").tolist()
+            for us, draft_id, message_id in zip(times, events["draft_id"].tolist(), events["message_id"].tolist(), strict=True):
+                if draft_id is None:
+                    self.replies.updateValue((message_id,), (us,))
+                    self.wake(us)
+                else:
+                    self.drafts.updateValue((draft_id,), (us,))
+                    self.wake(us + self.days * DAY_US)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        limit = expiredTimerInfo.getExpiryTimeInMs()
-        held = [(draft_id, us, text) for (draft_id,), (us, text) in self.pending.iterator()]
-        yield _rows([self.abandoned(key, d, us, text) for d, us, text in held if self.deadline(us) <= limit])
+        upto = timerValues.getCurrentWatermarkInMs() * 1000
+        if self.settled.exists() and self.settled.get()[0] >= upto:
+            return  # a timer before this one has settled all
+        self.settled.update((upto,))
+        drafts = [(us, d) for (d,), (us,) in self.drafts.iterator() if us <= upto]
+        replies = [(us, m) for (m,), (us,) in self.replies.iterator() if us <= upto]
+        done, rest = settle(drafts, replies, upto, self.days)
+        for _, message_id in replies:
+            self.replies.removeKey((message_id,))
+        for draft_id, *_ in done:
+            self.drafts.removeKey((draft_id,))
+        if not rest and not self.drafts.exists() and not self.replies.exists():
+            self.settled.clear()
+        if done:
+            yield _rows([(key[0], *row) for row in done])
 
     def close(self) -> None:
         pass

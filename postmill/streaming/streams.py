@@ -14,7 +14,9 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.scoring import score
 from ..operators.kb import build_kb
 from ..operators.rules import triage
-from ..sources.staging import flush_staging, parse_staging, unseen
+from ..sources.draft_log import BUCKET_IDS, DraftLog
+from ..sources.files import exists
+from ..sources.staging import flush_staging, parse_staging
 
 
 def _drained(query: StreamingQuery) -> StreamingQuery:
@@ -57,8 +59,15 @@ def stream_trend(accuracy: DataFrame, ts: str = "reconciled_at", delay: str = "1
 
 
 def stream_rolling(accuracy: DataFrame, ts: str = "reconciled_at", delay: str = "1 hour", days: int = 7) -> DataFrame:
-    """The same over ``days``-day windows that start every day."""
-    return _trend(accuracy, F.window(ts, f"{days} days", "1 day"), ts, delay)
+    """The same over ``days``-day windows that start every day, added up from the days' sums and not from copies of the rows."""
+    daily = (
+        accuracy.withWatermark(ts, delay).groupBy(F.window(ts, "1 day").alias("day"))
+        .agg(F.count(F.lit(1)).alias("n"), F.count("accuracy_score").alias("scored"), F.sum("accuracy_score").alias("total"))
+    )
+    rolled = daily.groupBy(F.window(F.window_time("day"), f"{days} days", "1 day").alias("w")).agg(
+        F.sum("n").alias("reconciled"), F.round(F.try_divide(F.sum("total"), F.sum("scored")), 1).alias("avg_accuracy")
+    )
+    return rolled.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "reconciled", "avg_accuracy")
 
 
 def _trend(accuracy: DataFrame, window, ts: str, delay: str) -> DataFrame:
@@ -97,45 +106,39 @@ def stream_match_simple(drafts: DataFrame, sent: DataFrame, delay: str = "1 hour
     )
 
 
-EVENT_COLUMNS = (
-    "thread_id string, event_ts timestamp, draft_id string, draft_text string, message_id string, final_sent string"
-)
-MATCH_COLUMNS = (
-    "thread_id string, draft_id string, message_id string, draft_text string, final_sent string, "
-    "status string, event_ts timestamp"
-)
+EVENT_COLUMNS = "thread_id string, event_ts timestamp, draft_id string, message_id string"
+MATCH_COLUMNS = "thread_id string, draft_id string, message_id string, status string, event_ts timestamp"
 
 
 def match_events(drafts: DataFrame, sent: DataFrame) -> DataFrame:
-    """Drafts and replies as one stream of events for ``stream_reconcile``."""
+    """Drafts and replies as one stream of ids and times for ``stream_reconcile``; their texts stay in their tables."""
     none = F.lit(None).cast("string")
-    made = drafts.select(
-        "thread_id", F.col("created_at").alias("event_ts"), "draft_id", F.coalesce("draft_text", F.lit("")).alias("draft_text"),
-        none.alias("message_id"), none.alias("final_sent"),
-    )
-    left = sent.select(
-        "thread_id", F.col("sent_at").alias("event_ts"), none.alias("draft_id"), none.alias("draft_text"),
-        "message_id", F.coalesce("body", F.lit("")).alias("final_sent"),
-    )
+    made = drafts.select("thread_id", F.col("created_at").alias("event_ts"), "draft_id", none.alias("message_id"))
+    left = sent.select("thread_id", F.col("sent_at").alias("event_ts"), none.alias("draft_id"), F.coalesce("message_id", F.lit("")).alias("message_id"))
     return made.unionByName(left).filter(F.col("thread_id") != "")
 
 
 def stream_reconcile(events: DataFrame, delay: str = "1 hour", days: int = 14) -> DataFrame:
-    """Each reply takes the latest pending draft of its thread; drafts pending over ``days`` are abandoned.
+    """Each reply takes the latest draft of its thread that was open when it was sent; drafts open over ``days`` are abandoned.
 
-    State is one map of pending drafts per thread, emptied by matching and by event-time
-    timers. Needs the RocksDB state store. The scores are native columns on the output.
+    (thread_id, draft_id, message_id, status, event_ts), each once the watermark, ``delay`` behind the newest event, has
+    passed it. Events within the delay may arrive in any order. State holds ids and times. Needs the RocksDB state store.
     """
     from .matcher import DraftMatcher
 
-    matched = (
+    return (
         events.withWatermark("event_ts", delay).groupBy("thread_id")
         .transformWithStateInPandas(
-            statefulProcessor=DraftMatcher(days), outputStructType=MATCH_COLUMNS, outputMode="Append",
-            timeMode="EventTime",
+            statefulProcessor=DraftMatcher(days), outputStructType=MATCH_COLUMNS, outputMode="Append", timeMode="EventTime",
         )
     )
-    scored = score(matched)
+
+
+def score_matches(matches: DataFrame, drafts: DataFrame, sent: DataFrame) -> DataFrame:
+    """Matches with their scores; the texts are joined from the draft log and the sent mail, and only those that matched."""
+    texts = drafts.select("draft_id", "draft_text")
+    bodies = sent.select("thread_id", F.coalesce("message_id", F.lit("")).alias("message_id"), F.col("body").alias("final_sent"))
+    scored = score(matches.join(texts, "draft_id", "left").join(bodies, ["thread_id", "message_id"], "left"))
     done = F.col("status") == "RECONCILED"
     return scored.select(
         "thread_id", "draft_id", "message_id", "status", "event_ts",
@@ -143,26 +146,37 @@ def stream_reconcile(events: DataFrame, delay: str = "1 hour", days: int = 14) -
     )
 
 
-def staging_sink(log_path: str, rejects_path: str | None = None) -> Callable[[DataFrame, int], None]:
+def match_sink(drafts: DataFrame, sent: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
+    """Micro-batch handler: the matches of ``stream_reconcile`` with scores, below ``path`` by batch; a replay replaces its batch.
+
+    ``drafts`` and ``sent`` are the tables that hold the texts. A batch's matches are written before they are joined, as its
+    state must be read once only; files partitioned by day are pruned by the days that the batch names.
+    """
+    root = path.rstrip("/")
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        found, spark = f"{root}_ids/batch={batch_id}", batch.sparkSession
+        batch.write.mode("overwrite").parquet(found)
+        matches = spark.read.schema(batch.schema).parquet(found)
+        score_matches(matches, drafts, sent).write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+
+    return handle
+
+
+def staging_sink(log_path: str, rejects_path: str | None = None, bucket_ids: int = BUCKET_IDS) -> Callable[[DataFrame, int], None]:
     """Micro-batch handler: staged JSON lines into the draft log at ``log_path``, by day of creation.
 
-    A draft id is added once, whatever day its repetitions carry: ids that the log holds are
-    looked up by a join on the batch's ids, which reads the log's id column only. A batch
-    replayed after a failure adds nothing. Lines that cannot be used are written to
-    ``rejects_path`` (by default beside the log) as (line, reason), by batch; a replay replaces them.
+    A draft id is added once, whatever day its repetitions carry. The ids of the log stand in an index beside it, of which a
+    batch reads the buckets of its own ids only. A batch replayed after a failure adds nothing, and what a failure cut
+    short is finished first. Lines that cannot be used are written to ``rejects_path`` (by default beside the log) as
+    (line, reason), by batch; a replay replaces them.
     """
     rejects_path = rejects_path or f"{log_path.rstrip('/')}_rejected"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         rows, broken = parse_staging(batch)
         fresh, without_id, _ = flush_staging(rows)
-        fresh = fresh.dropDuplicates(["draft_id"]).withColumn("created_day", F.to_date("created_at"))
-        if _exists(spark, log_path):
-            ids = fresh.select("draft_id").distinct()
-            known = spark.read.schema(fresh.schema).parquet(log_path).select("draft_id").join(ids, "draft_id", "left_semi").distinct()
-            fresh = unseen(fresh, known)
-        fresh.write.mode("append").partitionBy("created_day").parquet(log_path)
+        DraftLog(batch.sparkSession, log_path, bucket_ids).add(fresh)
         unusable = without_id.select(F.to_json(F.struct(*[c for c in without_id.columns if c != "reason"])).alias("line"), "reason")
         rejects = broken.select(F.col("value").alias("line"), F.lit("not a JSON object").alias("reason")).unionByName(unusable)
         rejects.write.mode("overwrite").parquet(f"{rejects_path.rstrip('/')}/batch={batch_id}")
@@ -175,12 +189,7 @@ def kb_sink(kb_path: str, as_of, embed=None) -> Callable[[DataFrame, int], None]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = spark.read.parquet(kb_path) if _exists(spark, kb_path) else None
+        known = spark.read.parquet(kb_path) if exists(spark, kb_path) else None
         build_kb(batch, known, as_of, embed).write.mode("append").parquet(kb_path)
 
     return handle
-
-
-def _exists(spark, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
