@@ -7,8 +7,9 @@ sub-rules and the order-status questions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import StructType
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rule_words as W
 from ..functions.tags import B2B, CLASSIFICATION
@@ -227,55 +228,110 @@ def default_rule_rows() -> list[tuple]:
     return rows
 
 
-RULES_AT_A_TIME = 2_000
+#: Rules that one automaton holds.
+RULES_AT_A_TIME = 100_000
+RULE_COLUMNS = ("priority", "rule_id", "tag", "field", "op", "pattern", "guard_field", "guard_op", "guard_pattern")
+RULE_FIELDS = {"sender": "_sender", "subject": "_subject", "content": "_content", "unquoted": "_unquoted", "body": "_body"}
 
 
-def classify_with_rules(messages: DataFrame, rules: DataFrame, scan: str = "content") -> DataFrame:
-    """The cascade with rules as data: the matching rule of lowest priority sets rule_id and tag.
+class RuleBlock:
+    """Rules with their literal patterns in one automaton: a text is read once, however many patterns there are.
 
-    The rules are taken in blocks of bounded size, in their order. A block becomes one array through a
-    scalar subquery and every message that no earlier block has matched walks along it, so messages are
-    neither shuffled nor multiplied, however many rules there are.
+    ``regexes`` lists the (field, pattern) of regular expressions, whose results come with each message.
     """
-    f = _Fields(scan, None)
-    columns = ("priority", "rule_id", "tag", "field", "op", "pattern", "guard_field", "guard_op", "guard_pattern")
-    numbered = rules.select(*columns).withColumn("_at", F.row_number().over(Window.orderBy(*columns)) - 1)
-    blocks = [
-        numbered.filter(F.col("_at").between(start, start + RULES_AT_A_TIME - 1))
-        .agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("rules")).scalar()
-        for start in range(0, max(1, rules.count()), RULES_AT_A_TIME)
-    ]
 
-    def text(field: Column) -> Column:
-        return (
-            F.when(field == "sender", F.col("_sender"))
-            .when(field == "subject", F.col("_subject"))
-            .when(field == "content", F.col("_content"))
-            .when(field == "unquoted", F.col("_unquoted"))
-            .when(field == "body", F.col("_body"))
-        )
+    def __init__(self, rows: list[tuple], regexes: list[tuple[str, str]]):
+        self.rows = sorted(rows, key=lambda r: [(x is not None, x) for x in r])  # nulls first, as Spark orders them
+        self.at = {r: i for i, r in enumerate(regexes)}
+        self.literal: dict[str, list[tuple[str, int, bool]]] = {}
+        self.other: list[int] = []
+        for rank, (_, _, _, field, op, pattern, *_) in enumerate(self.rows):
+            if field not in RULE_FIELDS or pattern is None:
+                continue
+            if op in ("contains", "starts") and pattern:
+                self.literal.setdefault(pattern, []).append((field, rank, op == "starts"))
+            elif op in ("contains", "starts", "regex"):
+                self.other.append(rank)
+        self.automaton = ahocorasick.Automaton()
+        for pattern in self.literal:
+            self.automaton.add_word(pattern, pattern)
+        if self.literal:
+            self.automaton.make_automaton()
+        self.fields = sorted({field for rules in self.literal.values() for field, *_ in rules})
+
+    def holds(self, field: str, op: str, pattern: str, texts: dict, hits: list[bool]) -> bool:
+        if field not in RULE_FIELDS or pattern is None:
+            return False
+        if op == "regex":
+            return bool(hits[self.at[field, pattern]])
+        return pattern in texts[field] if op == "contains" else op == "starts" and texts[field].startswith(pattern)
+
+    def first(self, texts: dict[str, str], hits: list[bool]) -> tuple | None:
+        """The first rule that matches."""
+        best = len(self.rows)
+        for field in self.fields:
+            text, seen = texts[field], set()
+            for end, pattern in self.automaton.iter(text):
+                start = end - len(pattern) + 1
+                if pattern in seen and start:
+                    continue
+                seen.add(pattern)
+                for own, rank, at_start in self.literal[pattern]:
+                    if rank < best and own == field and not (at_start and start) and self.guarded(rank, texts, hits):
+                        best = rank
+        for rank in self.other:
+            if rank >= best:
+                break
+            _, _, _, field, op, pattern, *_ = self.rows[rank]
+            if self.holds(field, op, pattern, texts, hits) and self.guarded(rank, texts, hits):
+                best = rank
+        return self.rows[best] if best < len(self.rows) else None
+
+    def guarded(self, rank: int, texts: dict, hits: list[bool]) -> bool:
+        field, op, pattern = self.rows[rank][6:]
+        return field is None or self.holds(field, op, pattern, texts, hits)
 
-    def test(field: Column, op: Column, pattern: Column) -> Column:
-        return (
-            F.when(op == "contains", F.contains(text(field), pattern))
-            .when(op == "starts", F.startswith(text(field), pattern))
-            .when(op == "regex", F.regexp_like(text(field), pattern))
-            .otherwise(F.lit(False))
-        )
 
-    def matches(rule: Column) -> Column:
-        guard = F.when(rule["guard_field"].isNull(), F.lit(True)).otherwise(
-            test(rule["guard_field"], rule["guard_op"], rule["guard_pattern"])
-        )
-        return guard & test(rule["field"], rule["op"], rule["pattern"])
+def classify_with_rules(messages: DataFrame, rules: DataFrame, scan: str = "content") -> DataFrame:
+    """The cascade with rules as data: the matching rule of lowest priority sets rule_id and tag.
 
-    found = f.add(messages).withColumn("_hit", F.lit(None).cast(StructType([rules.schema[c] for c in columns])))
-    for block in blocks:
-        hit = F.try_element_at(F.filter("_rules", matches), F.lit(1))
-        found = found.withColumn("_rules", block).withColumn("_hit", F.coalesce("_hit", hit))
-    return (
-        found
-        .withColumn("rule_id", F.coalesce(F.col("_hit.rule_id"), F.lit("R4")))
-        .withColumn("tag", F.col("_hit.tag"))
-        .drop(*FIELD_COLUMNS, "_rules", "_hit")
-    )
+    Rules with equal priority go by their other columns. The rules are dealt into blocks of bounded size, and each block becomes one
+    automaton per task; messages are neither shuffled nor multiplied, and a message's cost hardly grows with the rules.
+    Regular expressions are evaluated one by one as columns.
+    """
+    f = _Fields(scan, None)
+    rows = rules.select(*RULE_COLUMNS)
+    n_blocks = max(1, -(-rows.count() // RULES_AT_A_TIME))
+    tests = [rows.filter(f"{k}op = 'regex' and {k}pattern is not null").select(f"{k}field", f"{k}pattern") for k in ("", "guard_")]
+    regexes = sorted(tuple(r) for r in tests[0].union(tests[1]).distinct().collect() if r[0] in RULE_FIELDS)
+    hits = F.array(*[F.regexp_like(F.col(RULE_FIELDS[field]), F.lit(pattern)) for field, pattern in regexes]) if regexes else F.array().cast("array<boolean>")
+    kept = [c for c in messages.columns if c not in ("rule_id", "tag")]
+    found = f.add(messages).select(*kept, *RULE_FIELDS.values(), hits.alias("_regex"), F.lit(None).cast(rows.schema).alias("_hit"))
+    number = F.pmod(F.xxhash64(*RULE_COLUMNS), F.lit(n_blocks))
+    for block in range(n_blocks):
+        part = [tuple(r) for r in rows.filter(number == block).toLocalIterator()]
+        found = found.mapInArrow(_matcher(part, regexes), found.schema)
+    hit = F.col("_hit")
+    return found.withColumn("rule_id", F.coalesce(hit["rule_id"], F.lit("R4"))).withColumn("tag", hit["tag"]).drop(*RULE_FIELDS.values(), "_regex", "_hit")
+
+
+def _matcher(part: list[tuple], regexes: list[tuple[str, str]]):
+    """A step that sets ``_hit`` to the first matching rule of a block, unless an earlier block has one that goes before it."""
+
+    def run(batches):
+        block = RuleBlock(part, regexes)
+        order = lambda r: [(x is not None, x) for x in r]
+        for batch in batches:
+            names = batch.schema.names
+            columns = {field: batch.column(names.index(c)).to_pylist() for field, c in RULE_FIELDS.items()}
+            hits, before = batch.column(names.index("_regex")).to_pylist(), batch.column(names.index("_hit")).to_pylist()
+            after = []
+            for i in range(batch.num_rows):
+                hit = block.first({field: texts[i] or "" for field, texts in columns.items()}, hits[i])
+                old = tuple(before[i].values()) if before[i] is not None else None
+                best = min([r for r in (hit, old) if r is not None], key=order, default=None)
+                after.append(None if best is None else dict(zip(RULE_COLUMNS, best, strict=True)))
+            kind = batch.schema.field("_hit").type
+            yield batch.set_column(names.index("_hit"), "_hit", pa.array(after, kind))
+
+    return run

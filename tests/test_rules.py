@@ -1,3 +1,4 @@
+import random
 import re
 
 from hypothesis import HealthCheck, given, settings, strategies as st
@@ -153,3 +154,45 @@ def test_model_hook(spark):
     _, open_rows = R.split_for_model(R.triage(frame(spark, [c[:3] for c in CASES])))
     got = R.apply_model(open_rows, classify, "i int, tag string").collect()
     assert got and {r["tag"] for r in got} == {"GENERAL_PRODUCT"}
+
+
+def test_many_rules_in_blocks_equal_walking_along_them(spark, monkeypatch):
+    """Random literal rules, guards and regular expressions, in one block and in several, against the first that matches."""
+    r = random.Random(4)
+    bits = ["ab", "ba", "aab", "b b", "abba", "", "é", "c", "bab"]
+    columns = ("sender", "subject", "content", "unquoted", "body")
+    rules = [
+        (r.randrange(20), f"r{k}", r.choice([None, "t1", "t2"]), r.choice(columns), r.choice(["contains", "starts", "regex", "odd"]), r.choice(bits) + r.choice(["", "c"]),
+         *r.choice([(None, None, None), ("subject", "starts", "a"), ("sender", "regex", "b$"), ("body", "contains", "b")]))
+        for k in range(60)
+    ]
+    texts = ["".join(r.choice("abc é") for _ in range(r.randrange(0, 9))) for _ in range(200)]
+    messages = [(i, texts[i], texts[(7 * i + 1) % 200], texts[(3 * i + 2) % 200]) for i in range(200)]
+    frame_ = spark.createDataFrame(messages, "i int, sender string, subject string, body string")
+
+    def holds(f, op, p, m):
+        fields = {"sender": m[1], "subject": m[2], "body": m[3], "content": f"{m[2]} {m[3]}", "unquoted": f"{m[2]} {m[3]}"}
+        t = fields[f]
+        return {"contains": p in t, "starts": t.startswith(p), "regex": re.search(p, t) is not None}.get(op, False)
+
+    key = lambda rule: [(x is not None, x) for x in rule]
+    want = {}
+    for m in messages:
+        hits = [x for x in rules if holds(*x[3:6], m) and (x[6] is None or holds(*x[6:], m))]
+        best = min(hits, key=key, default=None)
+        want[m[0]] = (best[1], best[2]) if best else ("R4", None)
+    table = spark.createDataFrame(rules, R.RULE_TABLE)
+    for size in (100_000, 17):
+        monkeypatch.setattr(R, "RULES_AT_A_TIME", size)
+        got = {x["i"]: (x["rule_id"], x["tag"]) for x in R.classify_with_rules(frame_, table).collect()}
+        assert got == want
+
+
+def test_hundred_thousand_rules(spark):
+    """A message is read once, however many rules there are."""
+    rules = spark.range(100_000).selectExpr(
+        "cast(100000 - id as int) as priority", "concat('r', id) as rule_id", "'t' as tag", "'content' as field", "'contains' as op", "concat('key', id, 'end') as pattern",
+        "cast(null as string) as guard_field", "cast(null as string) as guard_op", "cast(null as string) as guard_pattern")
+    mail = spark.range(2000).selectExpr("cast(id as int) as i", "'a' as sender", "concat('x key', id * 7, 'end') as subject", "repeat('key12 filler ', 50) as body")
+    got = {r["i"]: r["rule_id"] for r in R.classify_with_rules(mail, rules).collect()}
+    assert got == {i: f"r{i * 7}" for i in range(2000)}

@@ -65,3 +65,9 @@ def test_tag_prefix_round_trip(spark, prefix):
     got = df.select("tag", site.alias("s"), tags.without_prefix(site, prefix).alias("back")).collect()
     assert [r["s"] for r in got] == [prefix + "US_WISMO", "GENERAL_PRODUCT", "B2B_FILTERED"]
     assert all(r["tag"] == r["back"] for r in got)
+
+
+@settings(max_examples=200, deadline=None)
+@given(texts, texts)
+def test_bit_distance_against_the_table(a, b):
+    assert scoring.bit_distance(a, b) == plain_distance(a, b)
