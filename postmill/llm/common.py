@@ -37,6 +37,18 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def trim() -> None:
+    """Give memory that this worker has freed back to the system; workers live on after a task."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
+
+
 def remainder(doc_id: str = "doc_id", by: int = 5) -> Column:
     """crc32 of the id as text, modulo ``by``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % by
@@ -170,5 +182,5 @@ def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
 
 __all__ = [
     "ODD", "U64", "WordHashes", "buckets_for", "components", "fresh", "mix", "pieces", "ranked", "remainder", "remove", "rows_of",
-    "shingles", "table", "work_path", "written",
+    "shingles", "table", "trim", "work_path", "written",
 ]

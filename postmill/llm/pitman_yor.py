@@ -3,8 +3,9 @@
 Each word is a context, and its restaurant seats the words that followed it in training; all
 these restaurants share one parent, the restaurant of single words, whose base is uniform. A restaurant's
 tables are the parent's customers. Given all else, the number of tables of a dish among c customers has a
-closed conditional, with generalised Stirling numbers; Gibbs sweeps draw it for all dishes. Beyond ``EXACT``
-customers the customers are seated one after another, table by table. After a burn-in, sweeps are samples, and
+closed conditional, with generalised Stirling numbers S(c, t); Gibbs sweeps draw it for all dishes, by its cumulative weights. S
+comes from its recursion up to ``EXACT`` customers, and beyond from its alternating sum where that loses
+no digits, else from the saddle point of its generating function. After a burn-in, sweeps are samples, and
 a word's probability is the average of the samples' predictive probabilities. Discounts come from
 the counts of single and double customers, the concentrations from the likeliest of a grid in each sweep.
 
@@ -20,6 +21,7 @@ all probabilities are one. An empty table gives an empty result. Other columns a
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -28,14 +30,15 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import U64, remainder, remove, rows_of, table, work_path
+from .common import U64, remainder, remove, rows_of, table, trim, work_path
 from .registry import query
 
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_500_000
 CELL_TOKENS = 1_500_000
 PART_WORDS = 1_000_000
 BURN_IN, SAMPLES = 1, 2
-EXACT = 48
+EXACT = 1024  # customers up to which Stirling numbers are tabled
+POINTS = 64  # numbers of tables that are weighed for a larger dish, evenly over where nearly all weight is
 GRID = tuple(10.0 ** (k / 3) for k in range(-3, 19))
 END = xxhash.xxh64_intdigest(b"\n")  # no word holds a line break
 
@@ -115,11 +118,13 @@ def blocks_of(docs: DataFrame) -> DataFrame:
                 n += len(found)
                 if n >= BLOCK_TOKENS:
                     yield flush()
+                    trim()
                     block += 1
                     ids, held, lengths, tokens, known, n = [], [], [], [], Numbers(), 0
                     known[None] = 0
         if ids:
             yield flush()
+        trim()
 
     return docs.select("doc_id", "text", (remainder() == 1).alias("held")).mapInArrow(run, BLOCK)
 
@@ -227,7 +232,10 @@ def requests(blocks: DataFrame, side: int, training: bool) -> DataFrame:
                             rows.append((cell, "q", row["block"], pack_pairs(u[seen], w[seen]), pack(counts[s:e][seen].astype(np.uint32))))
                     else:
                         rows.append((cell, "q", row["block"], pack_pairs(u, w)))
-                yield batch_of(rows)
+                out = batch_of(rows)
+                del pairs, counts, rows
+                trim()
+                yield out
 
     return blocks.mapInArrow(run, ROW)
 
@@ -242,53 +250,155 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     y = x.copy()
     for _ in range(8):
         low = y < 8
+        if not low.any():
+            break
         shift[low] += np.log(y[low])
         y[low] += 1
     z = 1 / (y * y)
     return (y - 0.5) * np.log(y) - y + 0.918938533204672742 + (1 / 12 - z * (1 / 360 - z / 1260)) / y - shift
 
 
+@functools.lru_cache(maxsize=2)
 def log_stirling(discount: float) -> np.ndarray:
     """log of the generalised Stirling numbers S(c, t), c and t up to EXACT: S(c+1, t) = S(c, t-1) + (c - t d) S(c, t)."""
     table_ = np.full((EXACT + 1, EXACT + 1), -np.inf)
     table_[0, 0] = 0
-    for c in range(EXACT):
-        t = np.arange(1, c + 2)
-        stay = np.where(c - t * discount > 0, np.log(np.maximum(c - t * discount, 1e-300)), -np.inf) + table_[c, 1 : c + 2]
-        table_[c + 1, 1 : c + 2] = np.logaddexp(table_[c, 0 : c + 1], stay)
+    with np.errstate(divide="ignore"):
+        for c in range(EXACT):
+            t = np.arange(1, c + 2)
+            stay = np.log(np.maximum(c - t * discount, 0)) + table_[c, 1 : c + 2]
+            table_[c + 1, 1 : c + 2] = np.logaddexp(table_[c, 0 : c + 1], stay)
     return table_
 
 
+def far_stirling(c: np.ndarray, t: np.ndarray, d: float, terms: int = 80) -> np.ndarray:
+    """log S(c, t) for many customers, 1 <= t <= c.
+
+    t! d^t S(c, t) is the sum over j of (-1)^j binom(t, j) G(c - j d) / G(-j d), G being the gamma function, and c! times the
+    coefficient of z^c in (1 - (1 - z)^d)^t. The sum is taken where it converges without cancellation, which is where t is
+    small beside c^d; elsewhere t is large and the coefficient is that of the saddle point, with its first correction.
+    """
+    c, t = np.asarray(c, np.float64), np.asarray(t, np.float64)
+    scale = log_gamma(t + 1) + t * math.log(d)
+    # the sum, over log G(c)
+    base, first = log_gamma(c), log_gamma(t + 1)
+    total, most, last = np.zeros_like(c), np.zeros_like(c), np.full_like(c, np.inf)
+    going = np.ones(len(c), bool)
+    for j in range(1, terms + 1):
+        at = np.flatnonzero(going & (j <= t))
+        if len(at) == 0:
+            break
+        size = first[at] - log_gamma(np.full(1, j + 1.0)) - log_gamma(t[at] - j + 1) + log_gamma(c[at] - j * d) - base[at] + log_gamma(np.full(1, 1 + j * d))
+        size = np.exp(np.minimum(size, 600))
+        total[at] += (1 if j % 2 else -1) * math.sin(math.pi * j * d) / math.pi * size
+        most[at] = np.maximum(most[at], size)
+        last[at] = size
+        going[at] = (size > 1e-14 * most[at]) & (most[at] < 1e7 * np.abs(total[at]) + 1e-300)
+    last[t <= terms] = 0  # the sum has ended
+    good = (total > 0) & (most < 1e7 * total) & ((last <= 1e-9 * total) | (last <= 1e-14 * most))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        by_sum = np.log(total) + base - scale
+    out = np.where(good, by_sum, 0.0)
+    far = np.flatnonzero(~good & (t < c))
+    if len(far):
+        # u = log(1 - z); the logarithmic derivative of 1 - (1 - z)^d falls in u from infinity to 1: Newton steps within a bracket
+        mean = np.log(c[far] / t[far])
+        low, high, u = np.full(len(far), -700.0), np.full(len(far), -1e-12), np.full(len(far), -1.0)
+        for _ in range(100):
+            z = -np.expm1(u)
+            slope = np.log(z) + math.log(d) + (d - 1) * u - np.log(-np.expm1(d * u))
+            above = slope > mean
+            low, high = np.where(above, u, low), np.where(above, high, u)
+            odds = z / np.exp(u)
+            new = u + (slope - mean) * odds / (1 + (1 - d) * odds - np.exp(slope))
+            new = np.where((new > low) & (new < high), new, (low + high) / 2)
+            done = np.abs(new - u) <= 1e-12 * np.abs(u)
+            u = new
+            if done.all():
+                break
+        z, f = -np.expm1(u), -np.expm1(d * u)
+        # cumulants of log f by log z
+        ratio = z / np.exp(u)
+        k1 = np.exp(mean)
+        r = 1 + (1 - d) * ratio - k1
+        k2 = k1 * r
+        dr = (1 - d) * ratio * (1 + ratio) - k2
+        k3 = k2 * r + k1 * dr
+        ddr = (1 - d) * (ratio * (1 + ratio) * (1 + 2 * ratio)) - k3
+        k4 = k3 * r + 2 * k2 * dr + k1 * ddr
+        tt = t[far]
+        correction = (k4 / (8 * k2**2) - 5 * k3**2 / (24 * k2**3)) / tt
+        value = log_gamma(c[far] + 1) + tt * np.log(f) - c[far] * np.log(z) - 0.5 * np.log(2 * math.pi * tt * k2) + np.log1p(np.clip(correction, -0.5, 0.5))
+        out[far] = value - scale[far]
+    return out
+
+
+def log_weight(c: np.ndarray, t: np.ndarray, open_: np.ndarray, parent: np.ndarray, d: float) -> np.ndarray:
+    """log of the weight of t tables, for many customers; ``open_`` is strength / discount plus the other tables."""
+    return far_stirling(c, t, d) + t * np.log(parent * d) + log_gamma(open_ + t) - log_gamma(open_)
+
+
+def draw_far(c: np.ndarray, open_: np.ndarray, parent: np.ndarray, d: float, random) -> np.ndarray:
+    """Tables of dishes with many customers: the numbers of tables around the likeliest are weighed, or ``POINTS`` of them."""
+    weight = lambda t: log_weight(c, t, open_, parent, d)
+    low, high = np.ones(len(c)), c.astype(np.float64)
+    while (high > low).any():  # the weights rise to one peak and fall
+        middle = np.floor((low + high) / 2)
+        rising = (middle < high) & (weight(np.minimum(middle + 1, c)) > weight(middle))
+        low, high = np.where(rising, middle + 1, low), np.where(rising, high, middle)
+    peak = low
+    # from the peak out to where the weight has fallen by a factor of e^25 on both sides
+    top = weight(peak)
+    ends = []
+    for sign in (-1, 1):
+        limit = np.where(sign < 0, peak - 1, c - peak)
+        step = np.minimum(1.0, limit)
+        while True:
+            going = (step < limit) & (weight(np.clip(peak + sign * step, 1, c)) > top - 25)
+            if not going.any():
+                break
+            step = np.where(going, np.minimum(1.4 * step + 1, limit), step)
+        ends.append(np.floor(step))
+    first, last = peak - ends[0], peak + ends[1]
+    width = np.minimum(last - first + 1, POINTS).astype(np.int64)
+    owner = np.repeat(np.arange(len(c)), width)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(width) - width, width)
+    gap = np.where(width > 1, (last - first) / np.maximum(width - 1, 1), 1.0)
+    points = np.rint(first[owner] + place * gap[owner])
+    logs = log_weight(c[owner], points, open_[owner], parent[owner], d)
+    starts = np.cumsum(width) - width
+    sums = np.cumsum(np.exp(logs - np.maximum.reduceat(logs, starts)[owner]))
+    before = np.concatenate([[0.0], sums])[starts]
+    target = before + random.random(len(c)) * (sums[starts + width - 1] - before)
+    found = points[np.clip(np.searchsorted(sums, target, "right"), starts, starts + width - 1)]
+    spread = np.floor((random.random(len(c)) - 0.5) * gap + 0.5)  # between two points that are not neighbours
+    return np.clip(np.where(gap > 1, found + spread, found), 1, c).astype(np.int64)
+
+
 def draw_tables(c: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float, strength: float, random) -> np.ndarray:
-    """Tables of dishes with ``c`` customers, given the restaurant's ``others`` tables and the dish's ``parent`` probability."""
+    """Tables of dishes with ``c`` customers, given the restaurant's ``others`` tables and the dish's ``parent`` probability.
+
+    One law for all sizes: t tables weigh S(c, t) times the product over i < t of (strength + discount (others + i)) parent.
+    """
     t = np.minimum(c, 1).astype(np.int64)
     stirling = log_stirling(discount)
-    for n in range(2, EXACT + 1):
-        rows = np.flatnonzero(c == n)
-        for start in range(0, len(rows), 200_000):
-            at = rows[start : start + 200_000]
+    order = np.argsort(c, kind="stable")
+    sizes, starts = np.unique(c[order], return_index=True)
+    ends = np.append(starts[1:], len(order))
+    for n, first, end in zip(sizes.tolist(), starts.tolist(), ends.tolist(), strict=True):
+        if not 2 <= n <= EXACT:
+            continue
+        step = max(1, 4_000_000 // n)
+        for start in range(first, end, step):
+            at = order[start : min(start + step, end)]
             steps = np.log(strength + discount * (others[at, None] + np.arange(n))) + np.log(parent[at, None])
             weight = np.cumsum(steps, axis=1) + stirling[n, 1 : n + 1]
             weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
             t[at] = 1 + (weight < random.random(len(at))[:, None] * weight[:, -1:]).sum(axis=1)
     many = np.flatnonzero(c > EXACT)
-    if len(many):
-        # the customer who opens the next table, from the chance that all between sit down at old ones
-        size, tables, seated = c[many].astype(np.float64), np.ones(len(many)), np.ones(len(many))
-        rate = (strength + discount * others[many]) * parent[many]
-        large = rate > 200  # so many tables that their number is near its mean
-        for _ in range(20):  # fixed point of t = rate * log((rate + c - d t) / rate)
-            tables = np.where(large, np.clip(rate * np.log((rate + np.maximum(size - discount * tables, 1)) / rate), 1, size), tables)
-        tables = np.where(large, np.clip(np.rint(tables + np.sqrt(tables) * random.standard_normal(len(many)) * 0.5), 1, size), tables)
-        open_ = np.flatnonzero(~large)
-        while len(open_):
-            a = np.maximum(rate[open_] + discount * tables[open_] * parent[many[open_]], 1e-12)
-            weight = np.maximum(seated[open_] - discount * tables[open_], 1e-9) + a
-            with np.errstate(over="ignore"):
-                seated[open_] = np.maximum(seated[open_] + 1, np.floor(weight * random.random(len(open_)) ** (-1 / a) - a + discount * tables[open_]) + 1)
-            open_ = open_[seated[open_] <= size[open_]]
-            tables[open_] += 1
-        t[many] = tables.astype(np.int64)
+    for start in range(0, len(many), 500):
+        at = many[start : start + 500]
+        t[at] = draw_far(c[at], strength / discount + others[at].astype(np.float64), parent[at], discount, random)
     return t
 
 
