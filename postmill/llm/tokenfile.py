@@ -14,7 +14,7 @@ part's, the chunk's and the index's count together. Files are written by Spark,
 again or not at all.
 
 Behaviour: a null text is the empty one and has the end id alone; a null doc_id comes first; rows of one doc_id follow each other
-in the order of their texts. An empty table gives empty tables. Other columns are not read.
+in the order of a hash of their texts. An empty table gives empty tables. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ DICTIONARY_BYTES = 64 * 1024
 SAMPLE_DOCS = 1000
 SAMPLE_BYTES = 8_000_000
 CHUNK_BYTES = 4_000_000
+PART_BYTES = 64_000_000  # text of a part, beyond the session's number of partitions
 CACHED_WORDS = 400_000
 
 
@@ -50,6 +51,7 @@ def byte_letters() -> list[str]:
 
 
 LETTERS = byte_letters()
+SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())  # of ASCII
 LATIN_END = chr(0x250)  # letters below are composed, and small ones of one letter
 
 
@@ -57,8 +59,8 @@ class WordIds(dict):
     """The ids of white-space separated words, as bytes; holds two generations of at most ``CACHED_WORDS`` words.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its words' ids. It cuts a word
-    into runs of letters and of signs and makes letters small, so a run of Latin letters, with or without a
-    full stop or comma, goes straight to its byte-pair model; all other words take the whole way.
+    into runs of letters and of signs and makes letters small, so a run of Latin letters goes straight to its byte-pair
+    model, and the signs after it are known from other words; all other words take the whole way.
     """
 
     def __init__(self, path: str):
@@ -68,36 +70,48 @@ class WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.old: dict = {}
-        self.ends = {tail: self.whole([tail])[0] for tail in (".", ",")} | {"": b""}
+        self.number = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
+        self.signs = {b"": b""}
 
     def whole(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def letters(self, word: str) -> bytes | None:
-        """The ids of Latin letters and at most one sign after them; None for other words."""
-        core, tail = (word[:-1], word[-1]) if word[-1] in ".," else (word, "")
-        small = core.lower()
-        if not core.isalpha() or max(core) >= LATIN_END or max(small) >= LATIN_END:
-            return None
-        if not small.isascii():
-            small = "".join(LETTERS[b] for b in small.encode())
-        return np.array([t.id for t in self.tokenizer.model.tokenize(small)], dtype="<u4").tobytes() + self.ends[tail]
-
-    def learn(self, words: list[bytes]) -> None:
-        """Encode what is not known, many words at a time."""
+    def letters(self, word: bytes) -> bytes | None:
+        """The ids of Latin letters and the signs after them; None for other words."""
+        core = word.rstrip(SIGNS)
+        tail = word[len(core) :]
+        if core.isalpha():  # of bytes: letters of ASCII
+            small = core.lower().decode()
+        else:
+            text = core.decode()
+            small = text.lower()
+            if not text.isalpha() or max(text) >= LATIN_END or max(small) >= LATIN_END:
+                return None
+            small = "".join([LETTERS[b] for b in small.encode()])
+        return b"".join([self.number[t.id] for t in self.tokenizer.model.tokenize(small)]) + self.sign_ids(tail)
+
+    def sign_ids(self, tail: bytes) -> bytes:
+        found = self.signs.get(tail)
+        if found is None:
+            if len(self.signs) > CACHED_WORDS:
+                self.signs = {b"": b""}
+            found = self.signs[tail] = self.whole([tail.decode()])[0]
+        return found
+
+    def learn(self, words: set[bytes]) -> None:
+        """Encode words that are not known."""
         if len(self) > CACHED_WORDS:
             self.old = dict(self)
             self.clear()
         new = []
-        for word in set(words):
-            if word not in self:
-                found = self.old.get(word)
-                if found is None:
-                    found = self.letters(word.decode())
-                if found is None:
-                    new.append(word)
-                else:
-                    self[word] = found
+        for word in words:
+            found = self.old.get(word)
+            if found is None:
+                found = self.letters(word)
+            if found is None:
+                new.append(word)
+            else:
+                self[word] = found
         self.update(zip(new, self.whole([w.decode() for w in new]), strict=True))
 
     def encode(self, text: bytes) -> bytes:
@@ -106,11 +120,13 @@ class WordIds(dict):
         words = text.split()
         for i in range(0, len(words), CACHED_WORDS):
             some = words[i : i + CACHED_WORDS]
+            found = list(map(self.get, some))
             try:
-                parts.append(b"".join(map(self.__getitem__, some)))
-            except KeyError:
-                self.learn(some)
-                parts.append(b"".join(map(self.__getitem__, some)))
+                parts.append(b"".join(found))
+            except TypeError:  # some are not known
+                missing = {w for w, ids in zip(some, found, strict=True) if ids is None}
+                self.learn(missing)
+                parts.append(b"".join([self[w] if ids is None else ids for w, ids in zip(some, found, strict=True)]))
         return b"".join(parts) + END.to_bytes(4, "little")
 
 
@@ -133,10 +149,9 @@ def learned_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     words = encoder(tokenizer)
     for (text,) in chosen.toLocalIterator():
         data = text.encode()
-        size += len(data)
-        if size > SAMPLE_BYTES:
-            break
-        samples.append(words.encode(data))
+        if size + len(data) <= SAMPLE_BYTES:  # a text that does not fit is left out
+            size += len(data)
+            samples.append(words.encode(data))
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples: their own bytes serve as the dictionary
@@ -191,8 +206,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
         if ids:
             yield flush()
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    # the text's hash splits an id that many rows have
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    dealt = docs.select("doc_id", "text").repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
     dealt.mapInArrow(
         run, "part int, chunk int, dictionary string, doc_ids array<long>, offsets array<long>, n_tokens array<long>, before long, blob binary"
     ).write.option("compression", "none").parquet(f"{path}/chunks")
