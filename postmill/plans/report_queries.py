@@ -48,7 +48,7 @@ SCORE_COLUMNS = "edit_distance, total_chars, edit_pct, accuracy_score, result"
 def score_pairs(spark: SparkSession, d: str) -> DataFrame:
     replies = V.sent(spark, d).select("conv_id", "turn", F.col("body").alias("final_sent"))
     pairs = V.drafts(spark, d).select("draft_id", "conv_id", "turn", "draft_text").join(replies, ["conv_id", "turn"])
-    return score(C.deal(pairs)).select("draft_id", *SCORE_COLUMNS.split(", "))
+    return score(C.deal(pairs), by_bits=True).select("draft_id", *SCORE_COLUMNS.split(", "))
 
 
 @query(with_tables(f"SELECT draft_id, thread_id, message_id, {SCORE_COLUMNS}, false AS semantic_match FROM matched",

@@ -67,6 +67,13 @@ def test_tag_prefix_round_trip(spark, prefix):
     assert all(r["tag"] == r["back"] for r in got)
 
 
+def test_far_pairs_by_bits(spark):
+    rows = [(0, "x" * 300, "y" * 300), (1, "héllo" * 50, "hello wörld" * 40), (2, None, "a" * 90), (3, "same", "same"), (4, "a" * 200 + "b", "c" + "a" * 100)]
+    df = spark.createDataFrame(rows, "i int, draft_text string, final_sent string")
+    got = [r["edit_distance"] for r in scoring.score(df, by_bits=True).orderBy("i").collect()]
+    assert got == [plain_distance(a or "", b or "") for _, a, b in rows] == [r["edit_distance"] for r in scoring.score(df).orderBy("i").collect()]
+
+
 @settings(max_examples=200, deadline=None)
 @given(texts, texts)
 def test_bit_distance_against_the_table(a, b):
