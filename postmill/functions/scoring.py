@@ -94,7 +94,7 @@ def score(pairs: DataFrame, draft_col: str = "draft_text", sent_col: str = "fina
     """Add edit_distance, total_chars, edit_pct, accuracy_score, result and empty_draft to (draft, sent) rows.
 
     The same ladder as ``edit_distance``, as stacked projections, so that each step runs once. ``by_bits`` sends the far
-    pairs to Python, which is worth it where many replies were rewritten: about three times as many pairs a second then.
+    pairs to Python, which is meant for logs in which many replies were rewritten.
     """
     draft, sent = text_or_empty(F.col(draft_col)), text_or_empty(F.col(sent_col))
     far = F.col("_near") < 0
