@@ -248,6 +248,20 @@ def test_resampling(spark, hard, monkeypatch, length, percent):
     assert [g[5] for g in ranked] == list(range(1, len(drawn) + 1)) and [(g[4], g[0]) for g in ranked] == drawn
 
 
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_slices_without_nulls_keep_their_words(monkeypatch, kind):
+    monkeypatch.setattr(resampling, "SLICE_BYTES", 3000)
+    texts = [prose(k, 100) for k in range(20)]
+    runs = resampling.slices(pa.array(texts, kind))
+    assert len(runs) > 3 and [t for run in runs for t in run.to_pylist()] == texts
+    counts = Counter()
+    for run in runs:
+        for bucket, _ in resampling.features(run, 1, 1000)[1]:
+            counts.update(bucket.tolist())
+    words = [w.encode() for t in texts for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()) if w]
+    assert counts == Counter(zlib.crc32(w) % 1000 for w in words)
+
+
 def test_resampling_of_nothing(spark, empty):
     none = spark.createDataFrame([], "text string")
     assert resampling.resampled(empty, none).count() == 0
