@@ -258,3 +258,16 @@ def test_rolling_windows_come_from_daily_sums(spark, tmp_path):
     rows = out(spark, tmp_path, S.stream_rolling(feed.stream()))
     got = {r["window_start"]: (r["reconciled"], r["avg_accuracy"]) for r in rows}
     assert got[T0 - 6 * day] == (1, 50.0) and got[T0] == (3, 75.0) and got[T0 + 2 * day] == (2, 10.0) and len(got) == 15
+
+
+@pytest.mark.parametrize("one_file", [True, False])
+def test_tables_of_one_file_and_of_many_are_streamed_whole(spark, tmp_path, one_file):
+    from postmill.plans import views as V
+
+    rows, made = spark.range(40).toDF("event_id"), tmp_path / ("made" if one_file else "events.parquet")
+    rows.repartition(1 if one_file else 4).write.parquet(str(made))
+    if one_file:
+        next(made.glob("part-*")).rename(tmp_path / "events.parquet")
+    spark.range(5).toDF("event_id").write.parquet(str(tmp_path / "events_other.parquet"))
+    S.run_available(V.stream(spark, str(tmp_path), "events"), str(tmp_path / "out"), str(tmp_path / "progress"))
+    assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(40))
