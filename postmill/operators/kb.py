@@ -58,7 +58,8 @@ def parse_kb(docs: DataFrame, text_col: str = "text") -> DataFrame:
     trigger = strip(F.regexp_replace(strip(F.regexp_extract(body, TRIGGER, 1)), r"\*+", ""))
     sections = F.regexp_extract_all(body, F.lit(APPROVED), F.lit(1))
     quoted = F.filter(
-        F.transform(F.flatten(F.transform(sections, lines)), strip), lambda line: line.startswith(">")
+        # by a lambda: given as it is, ``strip`` would get a line's place for its second parameter, the characters to trim
+        F.transform(F.flatten(F.transform(sections, lines)), lambda line: strip(line)), lambda line: line.startswith(">")  # noqa: PLW0108
     )
     approved = F.filter(
         F.transform(quoted, lambda line: _unquote(lstrip(line, ">"))), lambda line: line != ""

@@ -42,6 +42,12 @@ def test_parse_more(spark):
     assert rows[1]["question_variants"] == ["a", "b", "c"] and rows[1]["function_name"] == "Second"
 
 
+def test_lines_lose_white_space_and_nothing_else(spark):
+    text = "### Function 1: First\n**Approved Language:**\n> call 10\n \t> or 171\n> at 12\xa0\nnot > this\n**Forbidden:**\n> never\n"
+    rows = B.parse_kb(spark.createDataFrame([("f", text)], "filename string, text string")).collect()
+    assert [r["canonical_answer"] for r in rows] == ["call 10\nor 171\nat 12"]
+
+
 def test_file_names(spark):
     names = ["CANONICAL_skill_order-shipping-intl.md", "CANONICAL_skill_chargeback-disputes.md", "CANONICAL_skill_warranty-claim-us.md"]
     got = B.with_file_meta(spark.createDataFrame([(n,) for n in names], "filename string")).collect()
