@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from postmill.operators import blocks, cluster as K, kb as B, retrieve as Q
+from postmill.sources.files import append_kb
 
 NOW = datetime(2024, 3, 8, 12)
 SAMPLE = """# Preamble is ignored
@@ -48,6 +49,16 @@ def test_lines_lose_white_space_and_nothing_else(spark):
     assert [r["canonical_answer"] for r in rows] == ["call 10\nor 171\nat 12"]
 
 
+def test_appended_base_tells_answers_by_their_last_digit(spark, tmp_path):
+    text = "### Function 1: First\n**Approved Language:**\n> dial {}\n"
+    docs = [(n, "CANONICAL_skill_order-us.md", text.format(n)) for n in (10, 1, 100)]
+    files, path = spark.createDataFrame(docs, "doc_id long, filename string, text string"), str(tmp_path / "kb")
+    append_kb(B.build_kb(files.filter("doc_id % 2 = 0"), None, NOW), path)
+    append_kb(B.build_kb(files, spark.read.parquet(path), NOW).localCheckpoint(), path)
+    got = sorted(r["content_hash"] for r in spark.read.parquet(path).collect())
+    assert got == sorted(hashlib.sha256(f"First|dial {n}".encode()).hexdigest() for n in (1, 10, 100))
+
+
 def test_file_names(spark):
     names = ["CANONICAL_skill_order-shipping-intl.md", "CANONICAL_skill_chargeback-disputes.md", "CANONICAL_skill_warranty-claim-us.md"]
     got = B.with_file_meta(spark.createDataFrame([(n,) for n in names], "filename string")).collect()
