@@ -35,6 +35,7 @@ FINE_ROWS, FINE_BANDS = 12, 256
 PER_PART = 256  # members of a hub that one copy of its set serves
 BLOCK, BLOCK_SHINGLES = 256, 500_000  # about so many members, or shingles of members, are a block
 WIDE = 4096  # shingles that are counted at a time
+MAP_BITS = 24  # bits, as a power of 2, of the map of documents whose sets are needed
 
 
 def donor_orders(seed: int = 5) -> np.ndarray:
@@ -93,6 +94,21 @@ def described(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print binary, bands array<long>")
 
 
+def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids``, and a few others: whole texts are not dealt out only to be dropped by a join.
+
+    Hashes of ``ids`` set bits in a map of ``2 ** MAP_BITS``, which has at most 2 MB at any number of ids.
+    """
+    def place(of):
+        return F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS)).alias(of)
+
+    marks = ids.select(place("at")).groupBy(F.bitmap_bucket_number("at").alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_bits"))
+    bit = F.bitmap_bit_position("_at")
+    byte = F.conv(F.hex(F.substring("_bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = docs.withColumn("_at", place("_at")).withColumn("_part", F.bitmap_bucket_number("_at")).join(F.broadcast(written(marks, "marks")), "_part")
+    return marked.filter(F.getbit(byte, (bit % 8).cast("int")) == 1).select(docs.columns)
+
+
 def full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """(node, n, set) of the documents that are in some candidate pair."""
 
@@ -110,7 +126,9 @@ def full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
                     [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())], ["node", "n", "set"]
                 )
 
-    wanted = docs.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    ids = nodes.select(F.col("node").alias("doc_id"))
+    # a doc_id with several texts is one document: one of them stands for it
+    wanted = likely(docs.select("doc_id", "text"), ids).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return wanted.mapInArrow(run, "node long, n long, set binary")
 
 
@@ -280,10 +298,12 @@ def link(docs: DataFrame, size: int, percent: int) -> DataFrame:
     several = nodes.select("node").join(same.select(F.col("a").alias("node")), "node", "left_semi").distinct()
     twice = same.join(several.select(F.col("node").alias("a")), "a", "left_semi").distinct()
 
-    members = nodes.select("node", "n", F.posexplode("bands").alias("band", "key")).distinct()
-    shared = written(members.groupBy("band", "key").agg(F.count("*").alias("m")).filter("m > 1"), "shared")
-    members = written(members.join(shared.select("band", "key"), ["band", "key"]).select("band", "key", "node", "n"), "members")
-    sets = written(full_sets(docs, members.select("node").distinct(), size).dropDuplicates(["node"]), "sets")
+    # a key names its band too; counted alone, keys are dealt out without their members. A node of several texts may count twice
+    keys = nodes.select(F.explode("bands").alias("key"))
+    shared = written(keys.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "shared")
+    members = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
+    members = written(members.join(shared.select("key"), "key").select("band", "key", "node", "n").distinct(), "members")
+    sets = written(full_sets(docs, written(members.select("node").distinct(), "candidates"), size), "sets")
 
     known = components(written(twice, "twice"))
     tested = None
@@ -297,7 +317,7 @@ def link(docs: DataFrame, size: int, percent: int) -> DataFrame:
         if pairs.limit(1).count():
             known = components(written(confirmed(pairs, sets, percent), "confirmed"), known)
     # the star of two members was their only pair
-    rest = written(open_buckets(members.join(written(shared.filter("m > 2").select("band", "key"), "larger"), ["band", "key"]), known), "rest")
+    rest = written(open_buckets(members.join(written(shared.filter("m > 2").select("key"), "larger"), "key").select(members.columns), known), "rest")
     if rest.limit(1).count():
         known = components(written(compared(block_pairs(rest), sets, percent), "compared"), known)
     owner = written(

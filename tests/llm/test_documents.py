@@ -154,6 +154,20 @@ def test_near_duplicates_empty(empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_only_texts_that_may_be_compared_are_dealt_out(spark):
+    docs = spark.range(-20_000, 20_000).selectExpr("id * 7919 doc_id", "cast(id as string) text").unionByName(
+        spark.createDataFrame([(None, "x"), (7919, "again")], "doc_id long, text string"))
+    ids = spark.range(-20_000, 20_000, 40).selectExpr("id * 7919 doc_id").unionByName(spark.createDataFrame([(7919,), (5,)], "doc_id long"))
+    left = [r["doc_id"] for r in minhash.likely(docs, ids).collect()]
+    assert {r["doc_id"] for r in ids.collect()} - {5} <= set(left) and left.count(7919) == 2
+    assert len(left) < 1_100
+    # the text is filtered on the map side, before it is dealt out for the join
+    sets = minhash.full_sets(docs, ids.withColumnRenamed("doc_id", "node"), 4)
+    lines = sets._jdf.queryExecution().executedPlan().toString().splitlines()
+    dealt = [k for k, line in enumerate(lines) if "Exchange hashpartitioning(doc_id" in line][0]
+    assert any("_bits" in line for line in lines[dealt:]) and sets.count() == 1_001
+
+
 def test_one_id_with_two_texts_is_one_document(spark):
     a, b = prose(60, 50), prose(61, 50)
     docs = spark.createDataFrame([(5, a), (5, b), (6, a), (7, b), (8, prose(62, 50))], "doc_id long, text string")
