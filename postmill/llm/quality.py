@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import ODD, U64, mix, remainder, rows_of, table
+from .common import ODD, U64, mix, remainder, rows_of, table, trim
 from .registry import query
 
 BUCKET_BITS = 18
@@ -115,7 +115,7 @@ def train(rows: list[tuple[bytes, int]], classes: int = 2, seed: int = 7) -> Mod
         found = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
         for part in features(text):
             found += np.bincount(part, minlength=1 << BUCKET_BITS)
-        ids = np.flatnonzero(found)
+        ids = np.flatnonzero(found).astype(np.int32)
         if len(ids):
             n = found[ids]
             bags.append((ids, (n / n.sum()).astype(np.float32), label))
@@ -198,7 +198,9 @@ def score(docs: DataFrame, model: Model, target: int = 1) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learned from rows whose id has a remainder other than 0, as ``op10_quality_classifier`` says."""
-    return train(sample(docs, labels, remainder() != 0))
+    model = train(sample(docs, labels, remainder() != 0))
+    trim()  # this process goes on to later steps
+    return model
 
 
 @query()

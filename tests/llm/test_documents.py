@@ -518,6 +518,14 @@ def test_a_text_too_long_for_the_sample_is_left_out(spark, monkeypatch):
         assert quality.sample(docs.filter("doc_id % 3 = 1"), labels, F.lit(True)) == []
 
 
+def test_training_gives_memory_back(spark, hard, monkeypatch):
+    given = []
+    monkeypatch.setattr(quality, "trim", lambda: given.append(True), raising=False)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, quality int")
+    quality.fit(hard, labels)
+    assert given == [True]
+
+
 def test_quality_without_labels(spark, hard, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = quality.fit(hard, none)
