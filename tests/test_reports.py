@@ -119,3 +119,15 @@ def test_bucketed_logs_join_without_shuffle(spark, plan, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.sql("DROP DATABASE bucketed CASCADE")
+
+
+def test_files_by_a_mapping_table_move_no_texts(spark, plan):
+    """Frequent tags do not meet in one task: the mapping is broadcast, and the text is not read beyond the device."""
+    from postmill.operators import drafts
+
+    mail = spark.range(20).selectExpr(
+        "cast(id as string) as message_id", "if(id % 2 = 0, 'US_ADDRESS', 'GENERAL_PRODUCT') as tag", "if(id % 4 = 1, 'my influence iphone 16', 'x') as body")
+    got = drafts.kb_files_for(mail, drafts.kb_mapping(spark)).select("message_id", "position", "filename")
+    text = plan(got)
+    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
+    assert got.exceptAll(drafts.kb_files_for(mail).select("message_id", "position", "filename")).isEmpty() and got.count() == 30
