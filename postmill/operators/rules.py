@@ -297,6 +297,7 @@ def classify_with_rules(messages: DataFrame, rules: DataFrame, scan: str = "cont
 
     Rules with equal priority go by their other columns. The rules are dealt into blocks of bounded size, and each block becomes one
     automaton per task; messages are neither shuffled nor multiplied, and a message's cost hardly grows with the rules.
+    Only the fields that a rule looks at are sent to Python, where one message is held at a time.
     Regular expressions are evaluated one by one as columns.
     """
     f = _Fields(scan, None)
@@ -306,32 +307,39 @@ def classify_with_rules(messages: DataFrame, rules: DataFrame, scan: str = "cont
     regexes = sorted(tuple(r) for r in tests[0].union(tests[1]).distinct().collect() if r[0] in RULE_FIELDS)
     hits = F.array(*[F.regexp_like(F.col(RULE_FIELDS[field]), F.lit(pattern)) for field, pattern in regexes]) if regexes else F.array().cast("array<boolean>")
     kept = [c for c in messages.columns if c not in ("rule_id", "tag")]
-    found = f.add(messages).select(*kept, *RULE_FIELDS.values(), hits.alias("_regex"), F.lit(None).cast(rows.schema).alias("_hit"))
+    named = rows.select("field").union(rows.select("guard_field")).distinct().collect()
+    fields = [field for field in RULE_FIELDS if (field,) in named]
+    read = [RULE_FIELDS[field] for field in fields]
+    found = f.add(messages).select(*kept, *read, hits.alias("_regex"), F.lit(None).cast(rows.schema).alias("_hit"))
     number = F.pmod(F.xxhash64(*RULE_COLUMNS), F.lit(n_blocks))
     for block in range(n_blocks):
         part = [tuple(r) for r in rows.filter(number == block).toLocalIterator()]
-        found = found.mapInArrow(_matcher(part, regexes), found.schema)
+        after = found if block < n_blocks - 1 else found.drop(*read, "_regex")  # not sent back from the last block
+        found = found.mapInArrow(_matcher(part, regexes, fields, after.columns), after.schema)
     hit = F.col("_hit")
-    return found.withColumn("rule_id", F.coalesce(hit["rule_id"], F.lit("R4"))).withColumn("tag", hit["tag"]).drop(*RULE_FIELDS.values(), "_regex", "_hit")
+    return found.withColumn("rule_id", F.coalesce(hit["rule_id"], F.lit("R4"))).withColumn("tag", hit["tag"]).drop("_hit")
 
 
-def _matcher(part: list[tuple], regexes: list[tuple[str, str]]):
-    """A step that sets ``_hit`` to the first matching rule of a block, unless an earlier block has one that goes before it."""
+def _matcher(part: list[tuple], regexes: list[tuple[str, str]], fields: list[str], kept: list[str]):
+    """A step that sets ``_hit`` to the first matching rule of a block, unless an earlier block has one that goes before it.
+
+    ``fields`` are those that the rules look at; the columns ``kept`` are given on.
+    """
 
     def run(batches):
         block = RuleBlock(part, regexes)
         order = lambda r: [(x is not None, x) for x in r]
         for batch in batches:
             names = batch.schema.names
-            columns = {field: batch.column(names.index(c)).to_pylist() for field, c in RULE_FIELDS.items()}
-            hits, before = batch.column(names.index("_regex")).to_pylist(), batch.column(names.index("_hit")).to_pylist()
+            columns = [batch.column(names.index(c)) for c in [*[RULE_FIELDS[field] for field in fields], "_regex", "_hit"]]
             after = []
-            for i in range(batch.num_rows):
-                hit = block.first({field: texts[i] or "" for field, texts in columns.items()}, hits[i])
-                old = tuple(before[i].values()) if before[i] is not None else None
+            for row in zip(*columns, strict=True):  # by row, as the texts of a whole batch take much memory as Python's strings
+                *texts, hits, before = (value.as_py() for value in row)
+                hit = block.first({field: text or "" for field, text in zip(fields, texts, strict=True)}, hits)
+                old = None if before is None else tuple(before.values())
                 best = min([r for r in (hit, old) if r is not None], key=order, default=None)
                 after.append(None if best is None else dict(zip(RULE_COLUMNS, best, strict=True)))
             kind = batch.schema.field("_hit").type
-            yield batch.set_column(names.index("_hit"), "_hit", pa.array(after, kind))
+            yield batch.set_column(names.index("_hit"), "_hit", pa.array(after, kind)).select(kept)
 
     return run

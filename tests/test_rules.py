@@ -196,3 +196,31 @@ def test_hundred_thousand_rules(spark):
     mail = spark.range(2000).selectExpr("cast(id as int) as i", "'a' as sender", "concat('x key', id * 7, 'end') as subject", "repeat('key12 filler ', 50) as body")
     got = {r["i"]: r["rule_id"] for r in R.classify_with_rules(mail, rules).collect()}
     assert got == {i: f"r{i * 7}" for i in range(2000)}
+
+
+def test_only_the_fields_of_the_rules_are_sent_and_none_comes_back(spark, plan):
+    """Copies of the text that no rule reads would fill Python's memory with each batch."""
+    rules = spark.createDataFrame([(1, "r", "t", "subject", "contains", "x", None, None, None)], R.RULE_TABLE)
+    mail = spark.createDataFrame([("m", "a", "x", "some text")], "message_id string, sender string, subject string, body string")
+    got = R.classify_with_rules(mail, rules)
+    step = next(line for line in plan(got).splitlines() if "MapInArrow" in line)
+    assert not any(f"{field}#" in step for field in ("_content", "_unquoted", "_body", "_raw_body", "_sender"))
+    assert got.columns == ["message_id", "sender", "subject", "body", "rule_id", "tag"] and got.first()["tag"] == "t"
+
+
+def test_texts_of_a_batch_are_held_one_at_a_time():
+    """Of 200 messages of 1 MB each, no more than a few are Python's strings at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 200
+    kind = pa.struct([(c, pa.int32() if c == "priority" else pa.string()) for c in R.RULE_COLUMNS])
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["word " * 200_000] * n), pa.array([[]] * n, pa.list_(pa.bool_())), pa.nulls(n, kind)], ["_content", "_regex", "_hit"])
+    step = R._matcher([(1, "r", "t", "content", "contains", "absent", None, None, None)], [], ["content"], ["_hit"])
+    tracemalloc.start()
+    assert [b.num_rows for b in step(iter([batch]))] == [n]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20_000_000
