@@ -9,7 +9,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
-TOP = "mimeType string, body struct<data:string>, parts array<struct<mimeType:string, body:struct<data:string>>>"
+#: Levels of parts that are read natively.
+LEVELS = 4
+_NODE = "mimeType:string, body:struct<data:string>"
+
+
+def _parts(levels: int) -> str:
+    """The type of a list of parts; below the last level only the number of parts is known."""
+    return f"array<struct<{_NODE}, parts:{_parts(levels - 1)}>>" if levels else "array<struct<mimeType:string>>"
+
+
+TREE = f"struct<{_NODE}, parts:{_parts(LEVELS)}>"
 
 
 def decode_base64url(data: Column) -> Column:
@@ -41,25 +51,38 @@ def _nested_text(payload: pd.Series) -> pd.Series:
     return payload.map(lambda p: None if p is None else _first_text(json.loads(p)))
 
 
+def _data(node: Column, levels: int) -> Column:
+    """What ``_first_text`` decodes, found in a parsed tree."""
+    own = F.coalesce(node["body"]["data"], F.lit(""))
+    if not levels:
+        return F.rtrim(own, F.lit("="))
+    parts = node["parts"]
+    plain = F.filter(parts, lambda p: (p["mimeType"] == "text/plain") & (F.coalesce(p["body"]["data"], F.lit("")) != ""))
+    below = F.filter(F.transform(parts, lambda p: _data(p, levels - 1)), lambda data: data != "")
+    found = F.coalesce(F.try_element_at(plain, F.lit(1))["body"]["data"], F.try_element_at(below, F.lit(1)), F.lit(""))
+    return F.rtrim(F.when(F.size(F.coalesce(parts, F.array())) == 0, own).otherwise(found), F.lit("="))
+
+
+def _goes_on(node: Column, levels: int) -> Column:
+    """Whether a tree has parts below the levels that were read."""
+    parts = node["parts"]
+    return F.coalesce(F.exists(parts, lambda p: _goes_on(p, levels - 1)) if levels else F.size(parts) > 0, F.lit(False))
+
+
 def with_mime_body(df: DataFrame, payload_col: str, out_col: str = "body") -> DataFrame:
     """Add the message text of a MIME tree.
 
-    Single-part messages and those with a plain-text part on the first level, nearly all
-    mail, are read natively. Only the payloads nested deeper are sent to Python, as nulls
-    stand for the others.
+    Trees of up to ``LEVELS`` levels of parts, nearly all mail, are read natively, a row at a time. Only payloads nested deeper,
+    and those below whose first level the data is no strict base64, are sent to Python, as nulls stand for the others.
     """
-    top = F.from_json(F.col(payload_col), TOP)
-    staged = df.withColumn("_top", top)
-    has_parts = F.size(F.coalesce(F.col("_top.parts"), F.array())) > 0
-    plain = F.filter(
-        "_top.parts", lambda p: (p["mimeType"] == "text/plain") & (F.coalesce(p["body"]["data"], F.lit("")) != "")
-    )
-    data = F.when(~has_parts, F.coalesce(F.col("_top.body.data"), F.lit(""))).otherwise(
-        F.try_element_at(plain, F.lit(1))["body"]["data"]
-    )
+    tree = F.col("_tree")
+    staged = df.withColumn("_tree", F.from_json(F.col(payload_col), TREE))
+    nested = F.size(F.coalesce(tree["parts"], F.array())) > 0
+    staged = staged.select("*", _data(tree, LEVELS).alias("_data"), nested.alias("_nested"), _goes_on(tree, LEVELS).alias("_more"))
+    staged = staged.drop("_tree").withColumn("_text", decode_base64url(F.col("_data")))
+    left = F.col("_more") | (F.col("_nested") & F.col("_text").isNull())
     return (
-        staged.withColumn("_data", data)
-        .withColumn("_deep", _nested_text(F.when(F.col("_data").isNull(), F.col(payload_col))))
-        .withColumn(out_col, F.coalesce(decode_base64url(F.col("_data")), F.col("_deep"), F.lit("")))
-        .drop("_top", "_data", "_deep")
+        staged.withColumn("_deep", _nested_text(F.when(left, F.col(payload_col))))
+        .withColumn(out_col, F.coalesce(F.when(~F.col("_more"), F.col("_text")), F.col("_deep"), F.lit("")))
+        .drop("_data", "_nested", "_more", "_text", "_deep")
     )

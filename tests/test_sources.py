@@ -96,3 +96,29 @@ def test_kb_files_and_context(spark, tmp_path):
     assert [r["filename"] for r in files.read_kb(spark, str(tmp_path), ordered=True).collect()] == ["CANONICAL_skill_0.md", "CANONICAL_skill_a-us.md"]
     files.write_context(spark.createDataFrame([("q", [1])], "query_id string, matches array<int>"), f"{tmp_path}/out")
     assert spark.read.json(f"{tmp_path}/out").first()["query_id"] == "q"
+
+
+def test_nested_mime_bodies_are_read_without_python(spark, monkeypatch):
+    """To four levels of parts; what lies deeper goes to Python and gives the same."""
+    def nest(node, levels):
+        return node if not levels else {"mimeType": "multipart/mixed", "parts": [part("application/pdf", ""), nest(node, levels - 1), part("text/html", "<late>")]}
+
+    odd = [
+        {"mimeType": "m", "parts": [{"mimeType": "x", "parts": [{"mimeType": "text/plain", "body": {"data": "="}}, part("text/html", "no")]}, part("text/html", "<b>")]},
+        {"mimeType": "m", "parts": [{"mimeType": "x", "body": {"data": "aGk"}, "parts": [part("text/html", "inner")]}]},
+        {"mimeType": "m", "parts": [{"mimeType": "x", "parts": [{"mimeType": "text/html", "body": {"data": "aGVs\n\n\n\nbG8"}}]}]},
+    ]
+    trees = [nest(part(kind, f"text é {n}"), n) for kind in ("text/plain", "text/html") for n in range(8)] + odd
+    want = [mime._first_text(t) for t in trees]
+    frame = lambda some: spark.createDataFrame([(i, json.dumps(t)) for i, t in enumerate(some)], "i int, payload string")
+    assert [r["body"] for r in mime.with_mime_body(frame(trees), "payload").orderBy("i").collect()] == want
+
+    @F.pandas_udf("string")
+    def none(payload):
+        assert payload.isna().all(), "sent to Python"
+        return payload
+
+    monkeypatch.setattr(mime, "_nested_text", none)
+    shallow = [t for n in (0, 8) for t in trees[n : n + 5]]
+    got = [r["body"] for r in mime.with_mime_body(frame(shallow), "payload").orderBy("i").collect()]
+    assert got == [mime._first_text(t) for t in shallow]
