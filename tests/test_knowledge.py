@@ -328,3 +328,16 @@ def test_hashed_embedding_is_unit_counts(spark):
 
 def test_unit_rows_of_a_zero_vector():
     assert blocks.unit_rows([[0.0, 0.0], [3.0, 4.0]]).tolist() == [[0.0, 0.0], [0.6, 0.8]]
+
+
+def test_scores_held_at_a_time_are_few():
+    """A unit of work holds several copies of a tile, so a tile of a full block takes no more than 5 MB."""
+    import pyarrow as pa
+
+    from postmill.operators import cells
+
+    ids = pa.array(range(cells.CELL))
+    row = pa.table({"ids": pa.ListArray.from_arrays([0, cells.CELL], ids), "matrix": [np.ones((cells.CELL, 2)).tobytes()]})
+    left = pa.table({"vector": [[3.0, 4.0]] * 700})
+    runs = list(cells.products(left, row))
+    assert sum(len(scores) for _, scores in runs) == 700 and max(scores.nbytes for _, scores in runs) < 5_000_000
