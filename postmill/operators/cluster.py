@@ -191,7 +191,10 @@ def term_profile(clustered: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def canonicalise(clustered: DataFrame, text_col: str = "text") -> DataFrame:
-    """One entry per cluster: the one using the dominant word most, the least id among equals."""
+    """One entry per cluster: the one using the dominant word most, the least id among equals.
+
+    ``clustered`` is read twice and should be a written table.
+    """
     profile = term_profile(clustered, text_col)
     used = F.size(F.filter(terms(text_or_empty(F.col(text_col))), lambda t: t == F.col("dominant")))
     return (

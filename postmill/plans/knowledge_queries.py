@@ -390,6 +390,11 @@ def _clusters(spark: SparkSession, d: str) -> DataFrame:
     return K.cluster(V.entries(spark, d), THRESHOLD)
 
 
+def _clustered_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The same as a written table of what the operators on clusters read, some of them more than once."""
+    return written(_clusters(spark, d).select("kb_id", "cluster", "text"), "clustered")
+
+
 @query(cluster_sql("SELECT kb_id, cluster FROM clustered"))
 def similarity_clusters(spark: SparkSession, d: str) -> DataFrame:
     return _clusters(spark, d).select("kb_id", "cluster")
@@ -408,7 +413,7 @@ CANONICAL = f"""
 
 @query(cluster_sql("SELECT * FROM canonical", termed=TERMS, profiled=PROFILED, canonical=CANONICAL))
 def canonical_entries(spark: SparkSession, d: str) -> DataFrame:
-    return K.canonicalise(_clusters(spark, d)).select("cluster", "canonical_id", "members")
+    return K.canonicalise(_clustered_texts(spark, d)).select("cluster", "canonical_id", "members")
 
 
 @query(cluster_sql("""

@@ -330,6 +330,15 @@ def test_unit_rows_of_a_zero_vector():
     assert blocks.unit_rows([[0.0, 0.0], [3.0, 4.0]]).tolist() == [[0.0, 0.0], [0.6, 0.8]]
 
 
+def test_clusters_are_read_from_a_written_table(spark, plan):
+    """The operators on clusters read texts more than once; the join that brings texts to clusters is made once."""
+    import __spark_entry__ as entry
+
+    for name in ("canonical_entries",):
+        text = plan(entry.queries()[name](spark, "/root/testdata/sf0.001"))
+        assert "clustered-" in text and "documents.parquet" not in text
+
+
 def test_scores_held_at_a_time_are_few():
     """A unit of work holds several copies of a tile, so a tile of a full block takes no more than 5 MB."""
     import pyarrow as pa
