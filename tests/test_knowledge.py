@@ -334,7 +334,7 @@ def test_clusters_are_read_from_a_written_table(spark, plan):
     """The operators on clusters read texts more than once; the join that brings texts to clusters is made once."""
     import __spark_entry__ as entry
 
-    for name in ("canonical_entries",):
+    for name in ("canonical_entries", "cluster_variants"):
         text = plan(entry.queries()[name](spark, "/root/testdata/sf0.001"))
         assert "clustered-" in text and "documents.parquet" not in text
 
