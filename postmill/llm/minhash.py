@@ -34,6 +34,7 @@ FIRST_BANDS = 3  # a first round over so many bands joins most copies, so that l
 FINE_ROWS, FINE_BANDS = 12, 256
 PER_PART = 256  # members of a hub that one copy of its set serves
 BLOCK, BLOCK_SHINGLES = 256, 500_000  # about so many members, or shingles of members, are a block
+SLICES = 4  # of the units, whose sets are on disk at a time
 WIDE = 4096  # shingles that are counted at a time
 MAP_BITS = 24  # bits, as a power of 2, of the map of documents whose sets are needed
 
@@ -138,9 +139,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ``a`` is a hub: its set is sent once for every ``PER_PART`` of its members.
     """
     degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_PART).cast("int").alias("parts"))
-    dealt = (
-        pairs.join(sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("set").alias("set_b")), "b")
-        .join(degree, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    dealt = (  # parts before sets: the sets of members are dealt out by b and by hub, and not once more
+        pairs.join(degree, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+        .join(sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("set").alias("set_b")), "b")
     )
     hubs = (
         sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("set").alias("set_a")).join(degree, "a")
@@ -282,7 +283,13 @@ def compared(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         a, b = zip(*links, strict=True) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return units.join(sets.select("node", "n", "set"), "node").groupBy("unit").applyInArrow(run, "a long, b long")
+    links = None
+    for k in range(SLICES):  # the sets of one slice of units are dealt out at a time, and their shuffle files deleted
+        some = units.filter(F.pmod(F.xxhash64("unit"), F.lit(SLICES)) == k)
+        held = likely(sets.withColumnRenamed("node", "doc_id"), some.select(F.col("node").alias("doc_id"))).withColumnRenamed("doc_id", "node")
+        found = written(some.join(held.select("node", "n", "set"), "node").groupBy("unit").applyInArrow(run, "a long, b long"), "compared")
+        links = found if links is None else links.unionByName(found)
+    return links
 
 
 def link(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -319,7 +326,7 @@ def link(docs: DataFrame, size: int, percent: int) -> DataFrame:
     # the star of two members was their only pair
     rest = written(open_buckets(members.join(written(shared.filter("m > 2").select("key"), "larger"), "key").select(members.columns), known), "rest")
     if rest.limit(1).count():
-        known = components(written(compared(block_pairs(rest), sets, percent), "compared"), known)
+        known = components(compared(written(block_pairs(rest), "met"), sets, percent), known)
     owner = written(
         nodes.select("print", "node").join(known, "node", "left").select("print", F.coalesce("component", "node").alias("component")), "owner"
     )

@@ -3,13 +3,14 @@
 import collections
 import hashlib
 import math
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from postmill.llm import decontaminate, minhash, mixing, passages, pitman_yor, quality, rules, sharding, tokenfile
+from postmill.llm import common, decontaminate, minhash, mixing, passages, pitman_yor, quality, rules, sharding, tokenfile
 
 from .conftest import COLUMNS, hard_rows, prose
 
@@ -168,6 +169,19 @@ def test_only_texts_that_may_be_compared_are_dealt_out(spark):
     assert any("_bits" in line for line in lines[dealt:]) and sets.count() == 1_001
 
 
+def test_working_tables_leave_no_shuffle_files(spark):
+    def shuffles():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    before, was = shuffles(), spark.conf.get(common.CLEANUP, None)
+    table = common.written(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    until = time.time() + 20
+    while (left := shuffles() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and table.count() == 7 and spark.conf.get(common.CLEANUP, None) == was
+
+
 def test_one_id_with_two_texts_is_one_document(spark):
     a, b = prose(60, 50), prose(61, 50)
     docs = spark.createDataFrame([(5, a), (5, b), (6, a), (7, b), (8, prose(62, 50))], "doc_id long, text string")
