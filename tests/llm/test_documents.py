@@ -481,6 +481,47 @@ def test_two_signatures_are_enough(spark):
     assert 2 in shared.values() and {r["origin_id"] for r in got} >= {a for a, n in shared.items() if n >= 2}
 
 
+def plain_stretches(a, b, words, percent):
+    places = {}
+    for i, x in enumerate(a):
+        places.setdefault(x, []).append(i)
+    shared = [j for j, x in enumerate(b) if x in places]
+    if not shared:
+        return []
+    once = [places[b[j]][0] - j for j in shared if len(places[b[j]]) == 1]
+    usual = np.median(once or [places[b[j]][0] - j for j in shared])
+    place = [min(places[b[j]], key=lambda p, j=j: (abs(p - j - usual), p)) for j in shared]
+    found, todo = [], [(0, len(shared))]
+    while todo:
+        i, j = todo.pop()
+        if j <= i or shared[j - 1] - shared[i] + passages.SIZE < words:
+            continue
+        lo, hi = min(place[i:j]), max(place[i:j]) + 1
+        x, y = set(a[lo:hi]), set(b[shared[i] : shared[j - 1] + 1])
+        if 100 * len(x & y) >= percent * len(x | y):
+            found.append((lo, hi, shared[i], shared[j - 1] + 1, 100 * len(x & y) // len(x | y)))
+        elif j - i > 1:
+            breaks = [shared[k + 1] - shared[k] + abs((place[k + 1] - shared[k + 1]) - (place[k] - shared[k])) for k in range(i, j - 1)]
+            cut = i + 1 + breaks.index(max(breaks))
+            todo += [(i, cut), (cut, j)]
+    return found
+
+
+@pytest.mark.parametrize("kinds", [3, 40, 100_000])
+def test_stretches_against_a_plain_model(kinds):
+    random = np.random.default_rng(kinds)
+    for n in (1, 2, 30, 200):
+        for _ in range(20):
+            a = random.integers(1, kinds, n).astype(np.uint64)
+            b = np.concatenate([random.integers(1, kinds, n // 3), a[n // 4 :], random.integers(1, kinds, 3), a[: n // 2]]).astype(np.uint64)
+            changed = random.random(len(b)) < 0.05
+            b[changed] = random.integers(1, kinds, int(changed.sum()))
+            assert passages.stretches(a, b, 8, 80) == plain_stretches(a.tolist(), b.tolist(), 8, 80)
+    a = random.integers(1, 9, 9).astype(np.uint64)
+    before = passages.seen_before(a, np.argsort(a, kind="stable")).tolist()
+    assert before == [max([j for j in range(i) if a[j] == a[i]], default=-1) for i in range(9)]
+
+
 def test_passages_empty(empty):
     assert passages.repeated_passages(empty).count() == 0
 
