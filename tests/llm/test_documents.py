@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import pathlib
 import time
 import zlib
 
@@ -463,6 +464,35 @@ def test_passages_in_variants(spark, monkeypatch, turns):
     assert len(want) > 12 and {i for r in got for i in (r["doc_id"], r["origin_id"])} >= want
 
 
+def test_rounds_in_slices(spark, monkeypatch):
+    """Slices of a round find what the whole round finds, and neither their meetings nor shingles stay on disk."""
+    rows, _ = variants(passages.ENOUGH)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(passages.repeated_passages(docs).collect())
+    counts, slices, parts, paths = [], passages.slices_of, [], {}
+
+    class Noted(common.WorkTables):
+        def write(self, df, name):
+            table = super().write(df, name)
+            paths.setdefault(name, []).append(self.made[-1][1].removeprefix("file:"))
+            return table
+
+    def sliced(dealt):
+        parts.append(slices(dealt))
+        counts.append(passages.meetings(dealt).count())
+        assert sum(passages.meetings(dealt, i, parts[-1]).count() for i in range(parts[-1])) == counts[-1]
+        return parts[-1]
+
+    monkeypatch.setattr(passages, "WorkTables", Noted)
+    monkeypatch.setattr(passages, "slices_of", sliced)
+    monkeypatch.setattr(passages, "MEETINGS", 300)
+    monkeypatch.setattr(passages, "MEETINGS_EACH", 0)
+    assert sorted(passages.repeated_passages(docs).collect()) == want
+    assert parts == [max(1, -(-m // 300)) for m in counts] and max(parts) > 2
+    assert {"hits", "shingles", "dealt", "rest", "windows", "covered"} <= set(paths) and len(paths["hits"]) > 3
+    assert not [p for made in paths.values() for p in made if pathlib.Path(p).exists()]
+
+
 def test_two_signatures_are_enough(spark):
     """Pairs that share a short passage with one edit, of which some agree in two signatures only."""
     rows, x = [], []
